@@ -12,9 +12,9 @@ task holds one window of token ids.
 from __future__ import annotations
 
 import re
-import unicodedata
 import zlib
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,43 +26,69 @@ from loomspark.llm.common import bounded_batches, table
 MAX_TOKENS, MAX_SEGMENTS, END_ID = 4096, 512, 2
 #: Sequences of a task are numbered from its index times this.
 TASK_STRIDE = 1 << 36
-WORDS_KEPT = 400_000
+#: Runs whose ids a task keeps; beyond that it begins anew.
+RUNS_KEPT = 1_000_000
 
 
 class WordEncoder:
-    """Ids of the word-end BPE as little-endian uint32 bytes, with the ids of each word kept.
+    """Ids of the word-end BPE as little-endian uint32 bytes, with those of each run between spaces kept.
 
-    The vocabulary merges within a word only, so a text of plain Latin-1 is
-    split by the tokenizer's own pattern and its words are looked up. Any other
-    text, and one that may hold a special token, goes to the library whole.
+    The vocabulary merges within a word only and no word holds a space, so a
+    text of plain Latin-1 (which the normaliser only puts in lower case) is cut
+    at spaces and its runs are looked up. New runs go to the library joined by
+    spaces; the ids that end a word tell where each run ends. Any other text,
+    and one that may hold a special token, goes to the library whole.
     """
 
-    PLAIN = re.compile(r"[\t\n\r -~¡-ÿ]*\Z")
-    #: The tokenizer's split pattern, its classes written out for Latin-1.
-    SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zA-ZªµºÀ-ÖØ-öø-ÿ]+|[0-9²³¹¼-¾]|[^\s0-9a-zA-Zª²³µ¹º¼-¾À-ÖØ-öø-ÿ]+")
+    PLAIN = re.compile(r"[\t\n\r -~\u00a1-\u00ff]*\Z")
+    #: The tokenizer's split pattern, its classes written out for Latin-1; it tells how many words a run has.
+    SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zA-Z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+|[0-9\u00b2\u00b3\u00b9\u00bc-\u00be]|[^\s0-9a-zA-Z\u00aa\u00b2\u00b3\u00b5\u00b9\u00ba\u00bc-\u00be\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
-
-    def _library(self, parts: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
-
-    def encode(self, texts_: list[str]) -> list[bytes]:
-        words: list[list[str] | None] = []
-        for t in texts_:
-            plain = self.PLAIN.match(t) and "<|" not in t
-            words.append(self.SPLIT.findall(unicodedata.normalize("NFC", t).lower()) if plain else None)
-        new = list(set().union(*(w for w in words if w)).difference(self.known))
-        if len(self.known) + len(new) > WORDS_KEPT:
-            self.known = {}
-            new = list(set().union(*(w for w in words if w)))
-        self.known.update(zip(new, self._library(new), strict=True))
-        get = self.known.__getitem__
-        other = iter(self._library([t for t, w in zip(texts_, words, strict=True) if w is None]))
-        return [next(other) if w is None else b"".join(map(get, w)) for w in words]
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for piece, i in vocabulary.items() if piece.endswith("</w>")]] = True
+
+    def _library(self, parts: list[str]) -> list[np.ndarray]:
+        return [np.asarray(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
+
+    def _learn(self, runs: list[str]) -> None:
+        if len(self.known) + len(runs) > RUNS_KEPT:
+            self.known.clear()
+        (ids,) = self._library([" ".join(runs)])
+        cuts = np.flatnonzero(self.ends[ids]) + 1
+        words = np.cumsum([len(self.SPLIT.findall(r)) for r in runs])
+        if len(cuts) != (words[-1] if len(runs) else 0):
+            raise ValueError("the ids don't tell the words apart")
+        raw, at = ids.tobytes(), 0
+        for run, end in zip(runs, (4 * cuts[words - 1]).tolist(), strict=True):
+            self.known[run] = raw[at:end]
+            at = end
+
+    def encode(self, values: list[str]) -> list[bytes]:
+        out: list = [None] * len(values)
+        whole, gaps = [], []
+        get = self.known.get
+        for i, t in enumerate(values):
+            if "<|" in t or not self.PLAIN.match(t):
+                whole.append(i)
+                continue
+            runs = t.lower().split()
+            out[i] = parts = list(map(get, runs))
+            if None in parts:
+                gaps += [(parts, j, runs[j]) for j, p in enumerate(parts) if p is None]
+        if gaps:
+            new = list(dict.fromkeys(run for _, _, run in gaps))
+            self._learn(new)
+            for parts, j, run in gaps:
+                parts[j] = self.known[run]
+        for i, ids in zip(whole, self._library([values[i] for i in whole]), strict=True):
+            out[i] = (ids.tobytes(),)
+        return [b"".join(x) for x in out]
 
 
 class Packer:
@@ -161,11 +187,17 @@ def pack(
     return rows.mapInArrow(run, schema)
 
 
+@lru_cache(maxsize=2)
+def encoder_at(path: str) -> WordEncoder:
+    """One encoder for the life of a Python worker, so that its tasks share what is known."""
+    return WordEncoder(path)
+
+
 def public_encoder(name: str = "word_bpe_49k.json") -> Callable[[], WordEncoder]:
     def make() -> WordEncoder:
         import public_tokenizers
 
-        return WordEncoder(public_tokenizers.path(name))
+        return encoder_at(public_tokenizers.path(name))
 
     return make
 

@@ -13,7 +13,7 @@ from tokenizers import Tokenizer
 from loomspark.llm import packing, pieces, token_counts
 from loomspark.llm.common import fresh_path
 
-ODD = ["", " ", "a", "<|endoftext|>", "a<|endoftext|> b<|startoftext|>c", "It'S we'LL 'tis ''s ...'s", "²³ ¼x ªº µ ÀÉ ß ÿ", "x" * 5000, " " * 3000 + "a", "日本語 テスト", "😀 é İI ſ ﬁ", "a b\u0085c\u001cd", "1234567 12,5%", "▁a ▁▁ b", "tab\tnl\n\n  x  ", "\x00\x01", "Ǆ ĳ Ŀ", "!!!'s", "a\r\nb"]
+ODD = ["", " ", "a", "<|endoftext|>", "a<|endoftext|> b<|startoftext|>c", "It'S we'LL 'tis ''s ...'s", "²³ ¼x ªº µ ÀÉ ß ÿ", "x" * 5000, " " * 3000 + "a", "日本語 テスト", "😀 é İI ſ ﬁ", "a b\u0085c\u001cd", "1234567 12,5%", "▁a ▁▁ b", "tab\tnl\n\n  x  ", "\x00\x01", "Ǆ ĳ Ŀ", "!!!'s", "a\r\nb", "¿Qué? ¡x×÷¿¼½¾¿Àé\xad«»"]
 MIXED = st.text(alphabet=st.one_of(st.sampled_from(list("abc'stdSTLre 12 \n\t.!<|>")), st.characters(codec="utf-8")), max_size=60)
 
 
@@ -58,7 +58,7 @@ def test_documents_agree_with_library(spark, counter, words):
 
 
 def test_word_memory_is_bounded(words, monkeypatch):
-    monkeypatch.setattr(packing, "WORDS_KEPT", 3)
+    monkeypatch.setattr(packing, "RUNS_KEPT", 3)
     small = packing.WordEncoder(P.path("word_bpe_49k.json"))
     assert small.encode(["a b c", "d e"]) == words.encode(["a b c", "d e"])
     assert small.encode(["a x"]) == words.encode(["a x"]) and len(small.known) <= 5
