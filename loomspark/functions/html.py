@@ -13,6 +13,7 @@ from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Elements without content; elements whose beginning closes an
 # open <p>; elements whose strings aren't text of the page; noise.
@@ -159,7 +160,9 @@ def line_text(root: Node) -> str:
     return "\n".join(t for t in (s.strip() for s in root.strings(frozenset(NOISE) | SILENT)) if t)
 
 
-PAGE = "title string, description string, people array<string>, topics array<string>, full_text string"
+_LIST = T.ArrayType(T.StringType())
+PAGE = T.StructType([T.StructField(n, _LIST if n in ("people", "topics") else T.StringType()) for n in ("title", "description", "people", "topics", "full_text")])
+BRIEF = T.StructType([T.StructField(n, T.StringType()) for n in ("title", "description")])
 
 
 @F.pandas_udf(PAGE)
@@ -172,22 +175,22 @@ def page(content: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["title", "description", "people", "topics", "full_text"])
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(_LIST)
 def page_links(content: pd.Series) -> pd.Series:
     return pd.Series([links(parse(decoded(raw))) for raw in content], dtype=object)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def page_text(content: pd.Series) -> pd.Series:
     return pd.Series([clean_text(parse(decoded(raw), close_p=True)) for raw in content], dtype=object)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def page_lines(content: pd.Series) -> pd.Series:
     return pd.Series([line_text(parse(decoded(raw))) for raw in content], dtype=object)
 
 
-@F.pandas_udf("title string, description string")
+@F.pandas_udf(BRIEF)
 def page_brief(content: pd.Series) -> pd.DataFrame:
     """Title without the <title> fallback, and paragraphs or else the first 500 characters of the clean text."""
     rows = []
