@@ -13,14 +13,15 @@ Weights come from labelled documents: the smoothed log-odds of a term's
 document frequency. Beside the words themselves, word beginnings are terms, so
 that a family of words counts though one of its members was never labelled.
 Near copies of one toxic document would lend weight to all its rare words; so
-of the candidates only those stay that a greedy cover of the toxic sample
-needs.
+a term's frequency counts the different words that it follows, which copies
+share, instead of documents.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -32,11 +33,9 @@ from pyspark.sql import functions as F
 from loomspark.llm.common import bounded_batches, fold, free_name, labelled_sample, table, texts, written
 
 #: Bound of the training sample: labelled documents of each class.
-PER_CLASS = 6000
-#: A candidate term's least labelled toxic documents and least log-odds; how many candidates there are at most.
-LEAST_DOCS, LEAST_ODDS, CANDIDATES = 8, 3.0, 4000
-#: A term stays if it covers so many toxic documents that better terms don't.
-LEAST_NEW = 4
+PER_CLASS = 3000
+#: A term's least number of different words before it in toxic documents, its least log-odds, and how many terms are kept.
+LEAST_SEEN, LEAST_ODDS, TERMS = 4, 2.0, 6000
 PREFIXES = (4, 5, 6)
 THRESHOLD = 0.5
 #: The length normalisation: the sum of weights is divided by words to this power.
@@ -152,39 +151,19 @@ class Lexicon:
         return 1 / (1 + np.exp(-np.clip(self.bias + x @ np.array(self.slopes), -40, 40)))
 
 
-def terms_of(text: str) -> set[str]:
-    """Folded words and word beginnings of a text, each once."""
-    words = set(skeleton(text).split())
-    return words | {w[:n] + "*" for n in PREFIXES for w in words if len(w) >= n}
-
-
-def cover(documents: list[list[int]], odds: list[float]) -> list[int]:
-    """Terms, each covering LEAST_NEW toxic documents or more that those before it don't; most first, ties to larger odds."""
-    left: dict[int, set[int]] = {}
-    for d, terms in enumerate(documents):
-        for t in terms:
-            left.setdefault(t, set()).add(d)
-    chosen = []
-    while left:
-        best = max(left, key=lambda t: (len(left[t]), odds[t], -t))
-        new = left.pop(best)
-        if len(new) < LEAST_NEW:
-            break
-        chosen.append(best)
-        for t in [t for t in left if left[t] & new]:
-            left[t] -= new
-            if not left[t]:
-                del left[t]
-    return chosen
+def terms_of(text: str) -> set[tuple[str, str]]:
+    """Folded words and word beginnings of a text, each with the word before it."""
+    words = skeleton(text).split()
+    pairs = set(zip(words, ["", *words]))
+    return pairs | {(w[:n] + "*", before) for w, before in pairs for n in PREFIXES if len(w) >= n}
 
 
 def learn(docs: DataFrame, labels: DataFrame, parts: int, held_out: int, per_class: int = PER_CLASS) -> Lexicon:
     """A lexicon from at most ``per_class`` labelled documents a class; folds equal to ``held_out`` aren't looked at.
 
-    Terms are counted by Spark. The driver gets the best CANDIDATES of them
-    and, for each sampled document, which of those it has and three numbers:
-    bounded by the sample. Without labels of both classes the seeds alone make
-    the lexicon.
+    Terms are counted by Spark. The driver gets the best TERMS of them and
+    three numbers for each sampled document: bounded by the sample. Without
+    labels of both classes the seeds alone make the lexicon.
     """
     picked, _ = labelled_sample(docs, labels, "toxic", parts, held_out, per_class)
     picked = written(picked, "toxic-sample")
@@ -194,24 +173,15 @@ def learn(docs: DataFrame, labels: DataFrame, parts: int, held_out: int, per_cla
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(t, y) for text, y in zip(b["text"], b["label"], strict=True) for t in terms_of(text)]
-            yield pd.DataFrame(rows, columns=["term", "label"])
+            rows = {(t, zlib.crc32(before.encode()), y) for text, y in zip(b["text"], b["label"], strict=True) for t, before in terms_of(text)}
+            yield pd.DataFrame(list(rows), columns=["term", "before", "label"])
 
-    counted = picked.select("text", "label").mapInPandas(emit, "term string, label int").groupBy("term").agg(
-        F.sum("label").alias("bad"), F.sum(1 - F.col("label")).alias("good")
-    )
+    seen = picked.select("text", "label").mapInPandas(emit, "term string, before long, label int").distinct()
+    counted = seen.groupBy("term").agg(F.sum("label").alias("bad"), F.sum(1 - F.col("label")).alias("good"))
     odds = F.log((F.col("bad") + 0.5) / (sizes[1] + 1.0)) - F.log((F.col("good") + 0.5) / (sizes[0] + 1.0))
-    best = counted.where(F.col("bad") >= LEAST_DOCS).withColumn("odds", odds).where(F.col("odds") >= LEAST_ODDS)
-    rows = best.orderBy(F.desc("odds"), "term").limit(CANDIDATES).collect()
-    number = {r["term"]: i for i, r in enumerate(rows)}
-
-    def which(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame({"terms": [sorted(number[t] for t in terms_of(text) if t in number) for text in b["text"]]})
-
-    held = picked.where("label = 1").select("text").mapInPandas(which, "terms array<int>").collect()
-    chosen = cover([r["terms"] for r in held], [r["odds"] for r in rows])
-    lexicon = Lexicon(folded_seeds() | {rows[i]["term"]: float(rows[i]["odds"]) for i in chosen})
+    best = counted.where(F.col("bad") >= LEAST_SEEN).withColumn("odds", odds).where(F.col("odds") >= LEAST_ODDS)
+    rows = best.orderBy(F.desc("odds"), "term").limit(TERMS).collect()
+    lexicon = Lexicon(folded_seeds() | {r["term"]: float(r["odds"]) for r in rows})
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
