@@ -1,8 +1,8 @@
 """Personal data by weak supervision, in DataFrame operations alone.
 
 Patterns propose spans: the strict ones of each kind (the base), and looser
-ones for addresses spelt out, numbers without a plus sign, card numbers with a
-wrong check digit and addresses of version 6. Labelers vote on each proposal:
+ones for addresses spelt out, addresses of version 6, and for numbers that the
+strict ones lose because they run on into the digits that follow. Labelers vote on each proposal:
 the strict pattern, a check of the form, a gazetteer, words around it that
 speak for the kind and words that speak against it. Expectation-maximisation
 over the counts of vote patterns estimates each labeler's reliability and the
@@ -39,7 +39,8 @@ BASE = {
 LOOSE = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++(?:\x20?[\[(]at[\])]\x20?|\x20at\x20)[A-Za-z0-9-]++(?:(?:\x20?[\[(]dot[\])]\x20?|\x20dot\x20)[A-Za-z0-9-]++)++",
     "ip": r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])",
-    "phone": r"(?<![0-9+])(?:\([0-9]{3}\)\x20?|[0-9]{3}[\x20.-])[0-9]{3}[\x20.-][0-9]{4}(?![0-9])",
+    "card": r"(?<![0-9])(?:(?:[0-9]{4}[\x20-]){3}[0-9]{2,7}|[0-9]{14,19})(?![0-9])",
+    "phone": r"(?<![0-9+])(?:\+[0-9]{1,3}[\x20.-]?)?(?:\([0-9]{3}\)\x20?|[0-9]{3}[\x20.-])[0-9]{3}[\x20.-][0-9]{4}(?![0-9])",
 }
 #: What a text must hold before a pattern is tried on it.
 GUARD = {
@@ -51,6 +52,7 @@ GUARD = {
 LOOSE_GUARD = {
     "email": lambda t: (t.contains("at)") | t.contains("at]") | t.contains(" at ")) & (t.contains("dot)") | t.contains("dot]") | t.contains(" dot ")),
     "ip": lambda t: t.rlike(r"[0-9A-Fa-f]:[0-9A-Fa-f]{1,4}:"),
+    "card": GUARD["card"],
     "phone": lambda t: t.rlike(r"[0-9]{3}[\x20.-][0-9]{4}"),
 }
 #: Gazetteers: top-level domains; a card's first digits; networks that aren't anyone's; area codes that don't exist.
@@ -87,7 +89,7 @@ def parts_fit(value: Column) -> Column:
     return F.forall(F.split(value, r"\."), lambda p: (F.length(part(p)) <= 3) & (F.coalesce(F.expr("0") + F.when(F.length(part(p)) > 0, F.substring(part(p), 1, 3).cast("int")).otherwise(0), F.lit(0)) <= 255))
 
 
-#: Whether a match of the base pattern is a base span; those that aren't may still be proposals.
+#: Whether a match of the base pattern is a base span.
 PASSES = {
     "email": lambda v: F.lit(True),
     "ip": parts_fit,
@@ -134,7 +136,7 @@ def _voted(found: Column, kind: str, order: int, strict: bool) -> Column:
 
     def judge(x: Column) -> Column:
         v = x["value"]
-        passes = PASSES[kind](v) if strict else F.lit(False)
+        passes = F.lit(strict)
         near = F.substring(F.col("text"), F.greatest(F.lit(1), x["start"] + 1 - AROUND), F.length(v) + 2 * AROUND)
         if kind == "email":
             last = F.lower(F.element_at(F.split(v, r"\.|\x20dot\x20|\x20?[\[(]dot[\])]\x20?"), -1))
@@ -153,8 +155,8 @@ def _voted(found: Column, kind: str, order: int, strict: bool) -> Column:
             v.rlike(r"[\x20().-]").alias("parted"), F.least(F.lit(3), (F.length(v) / 8).cast("int")).alias("length"),
         )
 
-    if strict and kind == "card":  # shorter or longer numbers aren't proposals
-        found = F.filter(found, lambda x: digit_count(x["value"]).between(14, 19))
+    if strict:  # a match that fails its check is no proposal; a looser pattern may find what is in it
+        found = F.filter(found, lambda x: PASSES[kind](x["value"]))
     return F.transform(found, judge)
 
 
@@ -234,7 +236,8 @@ def tagged(docs: DataFrame, model: Classifier) -> DataFrame:
     """``docs`` (with ``text``) and ``spans``: those found, in order of start, then kind."""
     df = proposed(docs)
     slim = lambda a: F.transform(a, lambda x: F.struct(x["start"].alias("start"), x["order"].alias("order"), x["end"].alias("end"), x["kind"].alias("kind"), x["base"].alias("base")))
-    return df.withColumn("spans", F.when(F.size("spans") > 0, slim(_accepted(F.col("spans"), model))).otherwise(slim(F.col("spans"))))
+    found = F.array_distinct(slim(_accepted(F.col("spans"), model)))
+    return df.withColumn("spans", F.when(F.size("spans") > 0, found).otherwise(slim(F.col("spans"))))
 
 
 def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
