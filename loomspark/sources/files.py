@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.errors import AnalysisException
 
 from loomspark.functions.schemas import CACHE_ENTRY, DEFAULT_NA
 from loomspark.operators.clean import null_missing
@@ -55,15 +56,10 @@ def pages(spark: SparkSession, root: str, glob: str = "*.[hH][tT][mM]*", folders
     return df.where(~F.arrays_overlap(F.split("path", "/"), F.array(*(F.lit(s) for s in skip)))) if skip else df
 
 
-def decoded(content: Column) -> Column:
+@F.pandas_udf(T.StringType())
+def decoded(content: pd.Series) -> pd.Series:
     """UTF-8 text of bytes, those that aren't dropped."""
-    import pandas as pd
-
-    @F.pandas_udf("string")
-    def decode(raw: pd.Series) -> pd.Series:
-        return pd.Series([None if b is None else bytes(b).decode("utf-8", "ignore") for b in raw], dtype=object)
-
-    return decode(content)
+    return pd.Series([None if b is None else bytes(b).decode("utf-8", "ignore") for b in content], dtype=object)
 
 
 def cache(spark: SparkSession, path: str) -> DataFrame:
