@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from loomspark.functions import html, jsonx, text
 from loomspark.operators import clean, frequency as fq, incremental as inc
+from loomspark.plans import extraction
 from loomspark.sources.testdata import sessions, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -332,15 +333,8 @@ def page_description(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("page_records")
 def page_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole records from pages: the tree first, headings in running text where it has nothing."""
-    p = table(spark, sf_dir, "pages").select("page_id", "url", html.page("html").alias("p"))
-    meta = text.name_metadata(text.page_name(F.col("url")), ("workshop", "forum", "networking"))
-    people = text.clean_field(F.col("p.people"), text.valid_name)
-    topics = text.clean_field(F.col("p.topics"), text.long_enough)
-    return p.select(
-        F.concat(F.lit("page-"), F.col("page_id"), F.lit(".html")).alias("Source_File"), meta["year"].alias("Year"), meta["session_type"].alias("Session_Type"),
-        F.coalesce("p.title", "url").alias("Title"), F.when(topics != "N/A", topics).otherwise(text.theme_in(F.col("p.full_text"))).alias("Themes"),
-        F.when(people != "N/A", people).otherwise(text.speakers_in(F.col("p.full_text"))).alias("Speakers_Raw"), F.col("p.description").alias("Description"),
-    )
+    p = table(spark, sf_dir, "pages")
+    return extraction.dom_records(p.select(F.concat(F.lit("page-"), F.col("page_id"), F.lit(".html")).alias("file"), F.col("html").alias("content")))
 
 
 #: Words of the documents' prose that stand for the routes' own, which hardly occur there.
