@@ -10,7 +10,10 @@ until the leaves hold enough of their true neighbours.
 Equal vectors are one entry with their smallest ids, as many as a result can
 show, so a vector that fills a third of the table costs one entry. Leaves are
 dealt in blocks of a bounded size and each block is compared with the queries
-that come to it, which leaves the best of the block alone.
+that come to it. A query's distance to its nearest vectors of the sample bounds
+what can be among its nearest at all; a block leaves only what is within that
+bound, and no more than a result can show, so what the blocks leave together
+doesn't grow with their number.
 """
 
 from __future__ import annotations
@@ -27,11 +30,11 @@ from pyspark.sql import functions as F
 from loomspark.llm.common import bounded_batches, table, written
 
 K, EVERY = 10, 100
-#: Bounds: vectors the tree is fitted on; vectors the calibration compares with all rows; vectors of a block.
+#: Bounds: vectors the tree is fitted on and every query is first compared with; vectors the calibration compares with all rows; vectors of a block.
 SAMPLE, CALIBRATION, BLOCK = 20_000, 200, 2048
-BRANCH, LEAF_SAMPLE, LEAF_ROWS, ROUNDS = 8, 8, 200, 8
+BRANCH, LEAF_SAMPLE, LEAF_ROWS, ROUNDS = 8, 8, 400, 8
 #: The share of true neighbours that the visited leaves must hold for the calibration's vectors.
-RECALL = 0.97
+RECALL = 0.95
 
 
 @dataclass
@@ -142,8 +145,8 @@ def neighbours(vectors: DataFrame, k: int = K, every: int = EVERY, recall: float
     )
     entries = written(entries.select("v", "ids"), "vectors")
     total = entries.count()
-    sample = entries.orderBy(F.xxhash64("v"), "v").limit(SAMPLE).select("v").toPandas()["v"]
-    points = matrix(sample)
+    sample = entries.orderBy(F.xxhash64("v"), "v").limit(SAMPLE).toPandas()
+    points, names = matrix(sample["v"]), [sorted(map(int, i)) for i in sample["ids"]]
     if not len(points):
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     tree = Tree.fit(points, max(LEAF_SAMPLE, int(np.ceil(len(points) * LEAF_ROWS / total))))
@@ -162,13 +165,25 @@ def neighbours(vectors: DataFrame, k: int = K, every: int = EVERY, recall: float
     asked = rows.where(F.col("vec_id") % every == 0).select("vec_id", "h", "v")
     distinct = asked.groupBy("h", "v").agg(F.min("vec_id").alias("q"))
 
+    def bound(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for q, v in zip(b["q"], b["v"], strict=True):
+                d = distances(np.asarray(v, float), points)
+                i = d.argpartition(min(k, len(d) - 1))[: k + 1]
+                known = [(float(d[j]), names[j]) for j in i]
+                out.append((q, v, float(d[i].max()) if len(d) > k else float("inf"), [x for x, _ in known], [n for _, n in known]))
+            yield pd.DataFrame(out, columns=["q", "v", "most", "scores", "names"])
+
+    bounded = written(distinct.select("q", "v").mapInPandas(bound, f"q long, v {kind}, most double, scores array<double>, names array<array<long>>"), "bounded")
+
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out = [(q, v, leaf) for q, v in zip(b["q"], b["v"], strict=True) for leaf in tree.visits(np.asarray(v, float), most)]
-            yield pd.DataFrame(out, columns=["q", "v", "leaf"])
+            out = [(q, v, m, leaf) for q, v, m in zip(b["q"], b["v"], b["most"], strict=True) for leaf in tree.visits(np.asarray(v, float), most)]
+            yield pd.DataFrame(out, columns=["q", "v", "most", "leaf"])
 
     # As many blocks as there are leaves at most: their number is bounded by the sample and the rows of a block.
-    routed = distinct.select("q", "v").mapInPandas(route, f"q long, v {kind}, leaf long").join(F.broadcast(split), "leaf").where("blocks > 0")
+    routed = bounded.select("q", "v", "most").mapInPandas(route, f"q long, v {kind}, most double, leaf long").join(F.broadcast(split), "leaf").where("blocks > 0")
     routed = routed.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
 
     def best(there: pd.DataFrame, here: pd.DataFrame) -> pd.DataFrame:
@@ -177,13 +192,16 @@ def neighbours(vectors: DataFrame, k: int = K, every: int = EVERY, recall: float
             v = matrix(there["v"])
             ids = there["ids"].to_list()
             least = np.array([i[0] for i in ids])
-            for q, x in zip(here["q"], here["v"], strict=True):
+            for q, x, m in zip(here["q"], here["v"], here["most"], strict=True):
                 d = distances(np.asarray(x, float), v)
-                out += [(q, float(d[i]), ids[i]) for i in np.lexsort((least, d))[: k + 1]]
+                i = np.flatnonzero(d <= m)
+                out += [(q, float(d[j]), ids[j]) for j in i[np.lexsort((least[i], d[i]))[: k + 1]]]
         return pd.DataFrame(out, columns=["q", "score", "ids"])
 
     found = dealt.groupBy("leaf", "block").cogroup(routed.groupBy("leaf", "block")).applyInPandas(best, "q long, score double, ids array<long>")
-    near = found.select("q", "score", F.explode("ids").alias("vec_id"))
+    # What the sample held is found too, whether or not its leaf was visited.
+    seeds = bounded.select("q", F.explode(F.arrays_zip("scores", "names")).alias("x")).select("q", "x.scores", "x.names")
+    near = found.unionByName(seeds.toDF("q", "score", "ids")).select("q", "score", F.explode("ids").alias("vec_id")).distinct()
     near = near.withColumn("n", F.row_number().over(Window.partitionBy("q").orderBy("score", "vec_id"))).where(F.col("n") <= k + 1)
     near = near.groupBy("q").agg(F.array_sort(F.collect_list(F.struct("score", "vec_id"))).alias("near"))
     answers = distinct.join(near, "q").select("h", "v", "near")
