@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspark.llm.common import bounded_batches, fresh_path, table, texts
+from loomspark.llm.common import bounded_batches, fresh_path, table, texts, written
 
 LIMIT = 512
 CACHE_SCHEMA = "tokenizer string, digest binary, n_tokens long"
@@ -65,6 +65,12 @@ class TokenCounter:
         return out
 
 
+@lru_cache(maxsize=2)
+def counter_at(json_path: str, ranks_path: str | None) -> TokenCounter:
+    """One counter for the life of a Python worker."""
+    return TokenCounter(json_path, ranks_path)
+
+
 @lru_cache(maxsize=4)
 def version(path: str) -> str:
     """The digest that names a tokenizer's version."""
@@ -79,7 +85,7 @@ def encode_misses(distinct: DataFrame, json_name: str, ranks_name: str | None) -
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import public_tokenizers
 
-        counter = TokenCounter(public_tokenizers.path(json_name), ranks_name and public_tokenizers.path(ranks_name))
+        counter = counter_at(public_tokenizers.path(json_name), ranks_name and public_tokenizers.path(ranks_name))
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(counter.counts(b.column(1).to_pylist()), pa.int64())], names=["digest", "n_tokens"])
 
@@ -119,8 +125,10 @@ def token_counts(
     distinct = base.select(digest.alias("digest"), "text").groupBy("digest").agg(F.first("text").alias("text"))
     misses = distinct.join(stored.select("digest"), "digest", "left_anti")
     encode_misses(misses, json_name, ranks_name).select(F.lit(name).alias("tokenizer"), "digest", "n_tokens").write.mode("append").parquet(cache_path)
-    # Two runs at once may both append a digest; it counts once.
+    # Two runs at once may both append a digest; it counts once. Written before the join, so that both
+    # sides of it are dealt for it alone and the rows of one content can be split.
     known = spark.read.schema(CACHE_SCHEMA).parquet(cache_path).where(F.col("tokenizer") == name).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
+    known = written(known, "known-counts")
     rows = base.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), digest.alias("digest"))
     return rows.join(known, "digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
