@@ -13,6 +13,10 @@ BATCH_ROWS = 512
 BATCH_BYTES = 16 << 20
 
 
+#: The temporary folder of each application that has no shared one.
+_OWN: dict[str, str] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The Parquet table ``name`` of a data folder, read by Spark alone."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -32,8 +36,8 @@ def shared_dir(spark: SparkSession) -> str:
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
-        found = tempfile.mkdtemp(prefix="loomspark-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        app = spark.sparkContext.applicationId
+        found = _OWN.get(app) or _OWN.setdefault(app, tempfile.mkdtemp(prefix="loomspark-"))
     return found.rstrip("/")
 
 
