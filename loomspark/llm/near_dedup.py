@@ -13,12 +13,14 @@ counter. The weight is flat below what the table can tell and is damped, so
 that what a group of copies shares keeps most of its weight against the edits.
 
 Groups aren't expanded into pairs. Equal texts are one node. In a band's
-bucket each node is compared with one leader; what links join becomes one
-component; and only where a bucket still spans several components are the
-nodes of different components compared with one another. A large bucket of
-that kind is first split by the nodes' other bands (similar nodes share
-several), so its nodes meet in small buckets; what no band splits is compared
-pair by pair in blocks, so no link is lost.
+bucket each node is compared with one leader, in a large bucket with its most
+central node, the one whose bands are the fullest; what links join becomes one
+component. Only where a bucket still spans several components are nodes of
+different components compared with one another: in a small bucket as pairs; in
+a large one in blocks, which leave links alone. An exact bound goes before the
+blocks: a node can share with others only those of its shingles that any other
+node there has, and if so few can't make 0.8 with a set of any size that the
+bucket holds, the node has no link in it. No link is lost and no bucket capped.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomspark.llm.common import bounded_batches, table, texts, written
@@ -43,26 +45,14 @@ COUNTERS, VARIATES, FILTER_BITS = 1 << 20, 1 << 14, 1 << 24
 PART = 1 << 14
 #: The least weight of a shingle however frequent.
 LEAST_WEIGHT = 0.5
-#: A bucket up to this size is compared pair by pair if leaders don't settle it.
-SMALL = 16
-WORDS_KEPT = 500_000
+#: A bucket up to this size is compared pair by pair if leaders don't settle it, a larger one in blocks of that size.
+SMALL, BLOCK = 16, 256
+#: Columns of a block's shingles that are multiplied at once.
+COLUMNS = 4096
 #: Nodes of documents without an id lie above all ids.
 NO_ID = 1 << 62
 
 
-class WordHashes(dict):
-    """64-bit hash of each word, kept for the words seen so far."""
-
-    def __missing__(self, word: str) -> int:
-        import xxhash
-
-        if len(self) >= WORDS_KEPT:
-            self.clear()
-        self[word] = h = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
-        return h
-
-
-WORD_HASHES = WordHashes()
 MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
 
 
@@ -73,10 +63,42 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+BASE = 0xD6E8FEB86659FD93
+#: Bytes of a text that are hashed at once.
+SEGMENT = 1 << 20
+
+
+@lru_cache(maxsize=4)
+def powers(size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of BASE and of its inverse, modulo 2**64."""
+    up, down = np.full(size, BASE, np.uint64), np.full(size, pow(BASE, -1, 1 << 64), np.uint64)
+    up[0] = down[0] = 1
+    return np.cumprod(up), np.cumprod(down)
+
+
+def word_hashes(text: str) -> np.ndarray:
+    """A hash of each word in lower case: its bytes' polynomial, the same wherever the word stands."""
+    raw, out, at = " ".join(text.lower().split()).encode("utf-8", "surrogatepass"), [], 0
+    while at < len(raw):
+        end = len(raw)
+        if end - at > SEGMENT:  # cut between words
+            end = raw.rfind(b" ", at, at + SEGMENT)
+            end = raw.find(b" ", at + SEGMENT) if end < 0 else end
+            end = len(raw) if end < 0 else end
+        data = np.frombuffer(raw, np.uint8, end - at, at)
+        gaps = np.flatnonzero(data == 32)
+        first, last = np.concatenate([[0], gaps + 1]), np.concatenate([gaps, [len(data)]])
+        up, down = powers(1 << max(16, (len(data) - 1).bit_length()))
+        sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum((data + np.uint64(1)) * up[: len(data)], out=sums[1:])
+        out.append(mixed((sums[last] - sums[first]) * down[first]))
+        at = end + 1
+    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+
+
 def shingles(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes in order, and their counts. Fewer words than a shingle has make one; no words, none."""
-    words = text.lower().split()
-    w = np.fromiter(map(WORD_HASHES.__getitem__, words), np.uint64, len(words))
+    w = word_hashes(text)
     if len(w) > SHINGLE:
         h = w[: len(w) - SHINGLE + 1] * MULTIPLIERS[0]
         for k in range(1, SHINGLE):
@@ -213,80 +235,174 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     signed = written(rows.select("doc_id", digest.alias("digest"), "text").mapInArrow(sign, "doc_id long, digest binary, bands array<long>"), "signatures")
     node = F.coalesce(F.min("doc_id"), F.lit(NO_ID) + F.pmod(F.xxhash64("digest"), F.lit(NO_ID - 1)))
     nodes = written(signed.groupBy("digest").agg(node.alias("node"), F.first("bands").alias("bands")), "nodes")
-    members = nodes.select("node", F.explode("bands").alias("band"))
-    members = _buckets(members, ["band"])
+    members = _buckets(nodes.select("node", F.explode("bands").alias("band")))
 
     # Round 1: every node against its bucket's leader.
-    lead = F.when(F.col("n") <= SMALL, F.col("least")).otherwise(F.col("other"))
-    done = _pairs(members.select(F.col("node").alias("a"), lead.alias("b")), None)
-    verify = lambda pairs: _verified(rows, nodes, pairs, idf)
-    links = verify(done)
+    done = _pairs(members.select(F.col("node").alias("a"), F.col("leader").alias("b")))
+    links, sets = _verified(rows, nodes, done, idf)
     label = components(links)
 
-    # Round 2: buckets that still span components, small ones pair by pair, large ones by pairs of bands.
-    open_ = _unsettled(members, ["band"], label)
-    if open_.isEmpty():
-        return _result(signed, nodes, label)
-    small = _cross(open_.where(F.col("n") <= SMALL), ["band"])
-    large = open_.where(F.col("n") > SMALL).select("band", "node")
-    if not large.isEmpty():
-        twice = large.join(nodes.select("node", F.explode("bands").alias("second")), "node").where("second != band")
-        twice = _buckets(twice.select("node", F.xxhash64(F.least("band", "second"), F.greatest("band", "second")).alias("band")).distinct(), ["band"])
-        small = small.unionByName(_cross(_unsettled(twice, ["band"], label).where(F.col("n") <= SMALL), ["band"]))
-        more = _pairs(small.unionByName(twice.where(F.col("n") > SMALL).select(F.col("node").alias("a"), F.col("other").alias("b"))), done)
-        links = written(links.unionByName(verify(more)), "links")
-        label = components(links)
-        # What still spans components with both bands alike: all pairs of different components.
-        rest = _cross(_unsettled(twice, ["band"], label).where(F.col("n") > SMALL), ["band"])
-        done = done.unionByName(more)
-        small = rest
-    more = _pairs(small, done)
+    # Round 2: buckets that still span components.
+    open_ = _unsettled(members, label)
+    more = _pairs(_cross(open_.where(F.col("n") <= SMALL), nodes), done)
+    found = []
     if not more.isEmpty():
-        links = written(links.unionByName(verify(more)), "links")
-        label = components(links)
+        found.append(_verified(rows, nodes, more, idf)[0])
+    large = open_.where(F.col("n") > SMALL)
+    if not large.isEmpty():
+        found.append(_block_links(_possible(large, sets, idf), sets, idf))
+    for extra in found:
+        links = links.unionByName(extra)
+    if found:
+        label = components(written(links.distinct(), "links"))
     return _result(signed, nodes, label)
 
 
-def _buckets(members: DataFrame, key: list[str]) -> DataFrame:
-    """(key, node, n, least, other): members of buckets of two nodes or more, their number, least node and another leader.
+def _buckets(members: DataFrame) -> DataFrame:
+    """(band, node, n, leader): members of bands' buckets of two nodes or more.
 
-    Counted with partial sums first, so that a bucket of any size costs a row
-    a task; ``other`` is the node nearest to the bucket's key by exclusive or.
+    Everything about a bucket is a sum or an extremum, so one of any size costs
+    a row a task. The tables are written before they are joined, so that both
+    sides of a join are dealt for it alone and a hot bucket can be split.
     """
-    xor = F.col("node").bitwiseXOR(F.col("band"))
-    found = members.groupBy(*key).agg(F.count("*").alias("n"), F.min("node").alias("least"), F.min(xor).alias("x")).where("n > 1")
-    # Written before the join, so that both sides of it are dealt for it alone and a hot bucket can be split.
-    found = written(found.withColumn("other", F.col("x").bitwiseXOR(F.col("band"))).drop("x"), "leaders")
-    return written(members.join(found, key), "buckets")
+    counts = written(members.groupBy("band").agg(F.count("*").alias("n"), F.min("node").alias("least")).where("n > 1"), "counts")
+    members = written(members.join(counts, "band"), "members")
+    central = members.groupBy("node").agg(F.sum("n").alias("fullness"))
+    order = F.col("fullness") * (1 << 20) + F.pmod(F.xxhash64("node"), F.lit(1 << 20))
+    lead = members.where(F.col("n") > SMALL).join(central, "node").groupBy("band").agg(F.max_by("node", order).alias("center"))
+    lead = written(lead, "leaders")
+    return written(members.join(lead, "band", "left").select("band", "node", "n", F.coalesce("center", "least").alias("leader")), "buckets")
+
+
+def _unsettled(members: DataFrame, label: DataFrame) -> DataFrame:
+    """Members, with ``label``, of the buckets whose nodes have more than one label. Buckets of two were compared in full."""
+    named = written(members.where("n > 2").join(label, "node", "left").withColumn("label", F.coalesce("label", "node")), "named")
+    open_ = written(named.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("band"), "open")
+    return written(named.join(open_, "band"), "unsettled")
 
 
-def _unsettled(members: DataFrame, key: list[str], label: DataFrame) -> DataFrame:
-    """Members, with ``label``, of the buckets whose nodes have more than one label."""
-    named = members.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    open_ = named.groupBy(*key).agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select(*key)
-    open_ = written(open_, "open")
-    # Buckets of two were compared in full.
-    return written(named.where("n > 2").join(open_, key), "unsettled")
+def _cross(members: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Pairs of nodes of different labels in a bucket, each in the first band alone that the two share."""
+    full = members.join(nodes.select("node", "bands"), "node")
+    x, y = full.alias("x"), full.alias("y")
+    place = F.array_position("x.bands", F.col("x.band"))
+    before = F.zip_with(F.slice("x.bands", 1, place - 1), F.slice("y.bands", 1, place - 1), lambda p, q: p == q)
+    on = (F.col("x.band") == F.col("y.band")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.label") != F.col("y.label")) & ~F.exists(before, lambda same: same)
+    return x.join(y, on).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
 
 
-def _cross(members: DataFrame, key: list[str]) -> DataFrame:
-    a = members.select(*key, F.col("node").alias("a"), F.col("label").alias("la"))
-    b = members.select(*key, F.col("node").alias("b"), F.col("label").alias("lb"))
-    return a.join(b, key).where("a < b and la != lb").select("a", "b")
+def _block_links(members: DataFrame, sets: DataFrame, idf) -> DataFrame:
+    """Links between nodes of different labels in a bucket, for each node and other label the best of a block.
 
+    A bucket's nodes are dealt into blocks, and every two blocks meet in one
+    task's memory; of what they hold only links come out.
+    """
+    counts = written(members.groupBy("band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "blocks")
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    dealt = members.select("band", "node", "label").join(counts, "band").withColumn("own", own)
+    # A node of block i goes to the meetings of i with every block.
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "label")
+    dealt = dealt.join(sets.select("node", "s.hashes", "s.counts"), "node")
+
+    def meet(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("node", ignore_index=True)
+        left = np.flatnonzero(rows["own"] == key[1])
+        right = np.flatnonzero(rows["own"] == key[2])
+        held = [(np.frombuffer(h, np.uint64), np.frombuffer(c, np.uint16)) for h, c in zip(rows["hashes"], rows["counts"], strict=True)]
+        weight = lambda h: idf.value[(h >> np.uint64(44)).astype(np.int64)]
+        label, node = rows["label"].to_numpy(), rows["node"].to_numpy()
+        good = likely(held, weight)[np.ix_(left, right)] & (label[left][:, None] != label[right][None])
+        best: dict[tuple, tuple] = {}
+        for x, y in np.argwhere(good):
+            p, q = left[x], right[y]
+            if (node[p], label[q]) in best and (node[q], label[p]) in best:
+                continue
+            if (v := similarity(held[p], held[q], weight)) >= THRESHOLD:
+                best.setdefault((node[p], label[q]), (min(node[p], node[q]), max(node[p], node[q]), v))
+                best.setdefault((node[q], label[p]), (min(node[p], node[q]), max(node[p], node[q]), v))
+        return pd.DataFrame(sorted({x[:2] for x in best.values()}), columns=["a", "b"], dtype="int64")
+
+    return written(dealt.groupBy("band", "i", "j").applyInPandas(meet, "a long, b long").distinct(), "links")
+
+
+def likely(held: list[tuple[np.ndarray, np.ndarray]], weight: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+    """Which pairs may be links, by plain similarity and by a bound on the weighted one that is exact for counts of 1."""
+    h = np.concatenate([x for x, _ in held])
+    owner = np.repeat(np.arange(len(held)), [len(x) for x, _ in held])
+    w = np.concatenate([n * weight(x) for x, n in held])
+    size, heavy = np.bincount(owner, minlength=len(held)).astype(float), np.bincount(owner, w, len(held))
+    _, column, often = np.unique(h, return_inverse=True, return_counts=True)
+    shared = np.flatnonzero(often[column] > 1)  # what one set alone has counts for its size, not for what it shares
+    order = shared[np.argsort(column[shared], kind="stable")]
+    column = np.unique(column[order], return_inverse=True)[1]
+    both, common = (np.zeros((len(held), len(held))) for _ in range(2))
+    for a in range(0, int(column.max()) + 1 if len(column) else 0, COLUMNS):
+        lo, hi = np.searchsorted(column, [a, a + COLUMNS])
+        one, much = (np.zeros((len(held), COLUMNS), np.float32) for _ in range(2))
+        at = owner[order[lo:hi]], column[lo:hi] - a
+        one[at], much[at] = 1, w[order[lo:hi]]
+        both += one @ one.T
+        common += much @ one.T
+    common = np.minimum(common, common.T)
+    plain = both * (1 + THRESHOLD) >= THRESHOLD * (size[:, None] + size[None]) - 1e-3
+    return plain | (common * (1 + THRESHOLD) >= THRESHOLD * (heavy[:, None] + heavy[None]) - 1e-2)
+
+
+def _possible(members: DataFrame, sets: DataFrame, idf) -> DataFrame:
+    """Members that may have a link to another label in their bucket, with ``size``, ``shared``, ``weight``, ``common``.
+
+    ``shared`` and ``common`` are the number and the weight of the shingles that
+    another of these nodes may have, by hashed counters: they err upwards only.
+    """
+    nodes = members.select("node").distinct()
+    held = written(sets.join(nodes, "node"), "held").select("node", "s.hashes", "s.counts")
 
-def _pairs(pairs: DataFrame, done: DataFrame | None) -> DataFrame:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(COUNTERS, np.int64)
+        for b in batches:
+            h = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint64)
+            counts += np.bincount((h & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
+        yield pa.RecordBatch.from_pandas(part_rows(counts), schema=pa.schema([("part", pa.int32()), ("counts", pa.binary())]))
+
+    often = summed(held.mapInArrow(count, "part int, counts binary"), COUNTERS) > 1
+    seen = members.sparkSession.sparkContext.broadcast(np.packbits(often))  # COUNTERS bits
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.unpackbits(seen.value).astype(bool)
+        for b in batches:
+            out = []
+            for h, n in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                h, n = np.frombuffer(h, np.uint64), np.frombuffer(n, np.uint16)
+                w, own = n * idf.value[(h >> np.uint64(44)).astype(np.int64)], bits[(h & np.uint64(COUNTERS - 1)).astype(np.int64)]
+                out.append((len(h), int(own.sum()), float(w.sum()), float(w[own].sum())))
+            cols = list(zip(*out, strict=True)) if out else [[]] * 4
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int32(), pa.float64(), pa.float64()), strict=True))], names=["node", "size", "shared", "weight", "common"])
+
+    sized = written(held.mapInArrow(measure, "node long, size int, shared int, weight double, common double"), "sized")
+    full = written(members.join(sized, "node"), "measured")
+    # Sizes that a bucket holds, in whole numbers: as many as there are lengths of texts at most.
+    there = full.groupBy("band").agg(F.collect_set("size").alias("sizes"), F.collect_set(F.floor("weight").cast("int")).alias("weights"))
+    there = written(there, "sizes")
+    # A similar set has at least THRESHOLD of this one's size, and at most what is left once the shared part is counted.
+    most = lambda whole, part: F.col(part) * (1 + THRESHOLD) / THRESHOLD - F.col(whole) + 1e-6
+    by_size = F.exists("sizes", lambda s: (s >= F.col("size") * THRESHOLD - 1e-6) & (s <= most("size", "shared")))
+    by_weight = F.exists("weights", lambda w: (w + 1 >= F.col("weight") * THRESHOLD - 1e-6) & (w <= most("weight", "common")))
+    return written(full.join(there, "band").where(by_size | by_weight).drop("sizes", "weights"), "possible")
+
+
+def _pairs(pairs: DataFrame, done: DataFrame | None = None) -> DataFrame:
     pairs = pairs.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     return written(pairs if done is None else pairs.join(done, ["a", "b"], "left_anti"), "pairs")
 
 
-def _verified(rows: DataFrame, nodes: DataFrame, pairs: DataFrame, idf) -> DataFrame:
-    """Those of ``pairs`` whose exact similarity is THRESHOLD or more.
+def _verified(rows: DataFrame, nodes: DataFrame, pairs: DataFrame, idf) -> tuple[DataFrame, DataFrame]:
+    """Those of ``pairs`` whose exact similarity is THRESHOLD or more, and the sets (node, s) of all nodes in pairs.
 
     Only nodes in a pair need their shingles: a filter of a fixed number of
     bits, no larger for more nodes, spares the others the shuffle.
     """
-    involved = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    involved = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     wanted = written(nodes.join(involved, "node", "left_semi").select("digest", "node"), "wanted")
 
     def bits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -298,12 +414,12 @@ def _verified(rows: DataFrame, nodes: DataFrame, pairs: DataFrame, idf) -> DataF
     # Every bit comes once, so that adding the tasks' words sets each of them.
     positions = wanted.select(F.pmod(F.xxhash64("digest"), F.lit(FILTER_BITS)).cast("int").alias("bit")).distinct()
     packed = summed(positions.mapInPandas(bits, "part int, counts binary"), FILTER_BITS // 64)
-    seen = wanted.sparkSession.sparkContext.broadcast(np.unpackbits(packed.view(np.uint8))[:FILTER_BITS].view(bool))
+    seen = wanted.sparkSession.sparkContext.broadcast(packed.view(np.uint8))  # FILTER_BITS: 2 MB
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keep = seen.value[b.column(1).to_numpy()]
-            b = b.filter(pa.array(keep))
+            bit = b.column(1).to_numpy()
+            b = b.filter(pa.array((seen.value[bit >> 3] >> (7 - (bit & 7))) & 1 == 1))
             found = [shingles(t) for t in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([h.tobytes() for h, _ in found], pa.binary()), pa.array([np.minimum(n, 65535).astype(np.uint16).tobytes() for _, n in found], pa.binary())], names=["digest", "hashes", "counts"])
 
@@ -323,7 +439,7 @@ def _verified(rows: DataFrame, nodes: DataFrame, pairs: DataFrame, idf) -> DataF
             good = [similarity(read(p, q), read(r, s), weight) >= THRESHOLD for p, q, r, s in zip(*c, strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    return written(flat.mapInArrow(judge, "a long, b long"), "links")
+    return written(flat.mapInArrow(judge, "a long, b long"), "links"), found
 
 
 def components(links: DataFrame) -> DataFrame:

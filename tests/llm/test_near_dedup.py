@@ -112,3 +112,32 @@ def test_odd_rows(odd_docs, no_docs):
     groups = sorted(sorted(str(x) for x in v) for v in by.values())
     assert groups == sorted([["1"], ["2", "3"], ["4"], ["5", "5", "6"], ["None"], ["7"]])
     assert nd.classes(no_docs).count() == 0
+
+
+def test_block_bound_excludes_no_link():
+    r = np.random.default_rng(7)
+    base = nd.mixed(np.arange(1, 301, dtype=np.uint64))
+    held = []
+    for i in range(60):
+        keep = r.random(300) > 0.02 * (i % 12)
+        own = nd.mixed(np.arange(10**6 + 100 * i, 10**6 + 100 * i + 5 * (i % 9), dtype=np.uint64))
+        h = np.sort(np.concatenate([base[keep], own]))
+        held.append((h, r.integers(1, 4, len(h)).astype(np.uint16)))
+    weight = lambda h: np.where(h % np.uint64(3) == 0, 0.5, 1.0).astype(np.float32)
+    may = nd.likely(held, weight)
+    links = 0
+    for i in range(60):
+        for j in range(i):
+            if nd.similarity(held[i], held[j], weight) >= nd.THRESHOLD:
+                links += 1
+                assert may[i, j] and may[j, i]
+    assert links > 50 and may.sum() < 60 * 60
+
+
+def test_words_hash_alike_wherever_they_stand(monkeypatch):
+    text = "Alpha beta  gamma delta " + "y" * 300 + " beta ALPHA é 日本"
+    whole = nd.word_hashes(text)
+    monkeypatch.setattr(nd, "SEGMENT", 40)
+    assert (nd.word_hashes(text) == whole).all() and len(whole) == len(text.split())
+    assert whole[0] == whole[6] and whole[1] == whole[5] and len(set(whole.tolist())) == len(whole) - 2
+    assert len(nd.word_hashes(" \n")) == 0
