@@ -173,8 +173,10 @@ def learn(docs: DataFrame, labels: DataFrame, parts: int, held_out: int, per_cla
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = {(t, zlib.crc32(before.encode()), y) for text, y in zip(b["text"], b["label"], strict=True) for t, before in terms_of(text)}
-            yield pd.DataFrame(list(rows), columns=["term", "before", "label"])
+            for a in range(0, len(b), 16):  # a few documents at a time, as each has thousands of terms
+                part = b.iloc[a : a + 16]
+                rows = {(t, zlib.crc32(before.encode()), y) for text, y in zip(part["text"], part["label"], strict=True) for t, before in terms_of(text)}
+                yield pd.DataFrame(list(rows), columns=["term", "before", "label"])
 
     seen = picked.select("text", "label").mapInPandas(emit, "term string, before long, label int").distinct()
     counted = seen.groupBy("term").agg(F.sum("label").alias("bad"), F.sum(1 - F.col("label")).alias("good"))
