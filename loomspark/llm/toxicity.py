@@ -165,7 +165,7 @@ def learn(docs: DataFrame, labels: DataFrame, parts: int, held_out: int, per_cla
     three numbers for each sampled document: bounded by the sample. Without
     labels of both classes the seeds alone make the lexicon.
     """
-    picked, _ = labelled_sample(docs, labels, "toxic", parts, held_out, per_class)
+    picked, counts = labelled_sample(docs, labels, "toxic", parts, held_out, per_class)
     picked = written(picked, "toxic-sample")
     sizes = {r["label"]: r["n"] for r in picked.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if not sizes.get(0) or not sizes.get(1):
@@ -193,10 +193,12 @@ def learn(docs: DataFrame, labels: DataFrame, parts: int, held_out: int, per_cla
     sample = picked.select("text", "label").mapInPandas(measure, "a double, b double, c double, label int").collect()
     x, y = np.array([r[:3] for r in sample], float), np.array([r[3] for r in sample], float)
     lexicon.bias, lexicon.slopes = fit(x, y)
+    # Classes weigh alike in the fit; their true shares come back with the bias.
+    lexicon.bias += float(np.log(counts[1] / counts[0]))
     return lexicon
 
 
-def fit(x: np.ndarray, y: np.ndarray, rounds: int = 300, ridge: float = 1e-2) -> tuple[float, tuple[float, ...]]:
+def fit(x: np.ndarray, y: np.ndarray, rounds: int = 3000, ridge: float = 1e-2) -> tuple[float, tuple[float, ...]]:
     """Logistic regression with slopes of at least 0, classes weighted alike."""
     scale = np.maximum(x.std(0), 1e-6)
     z = x / scale
