@@ -66,6 +66,8 @@ WORDS = {
 AGAINST = r"(?i)version|isbn|issn|doi|invoice|serial|checksum|token|sha\d|md5"
 AROUND = 24
 LABELERS = ("pattern", "form", "gazetteer", "for", "against")
+#: How reliable a labeler is taken to be before counts speak: a check of the form more than a word nearby.
+FIRST = {"pattern": 0.9, "form": 0.9, "gazetteer": 0.7, "for": 0.75, "against": 0.8}
 ROUNDS = 60
 
 
@@ -189,8 +191,8 @@ def fit(docs: DataFrame, text_col: str = "text") -> Classifier:
 
 def train(counted: list[dict]) -> Classifier:
     """EM over (kind, votes) counts, then logistic regression on the soft labels; both over bounded lists."""
-    right = {(j, y): 0.8 for j, y in product(LABELERS, (0, 1))}
-    share = dict.fromkeys(KINDS, 0.7)
+    right = {(j, y): FIRST[j] for j, y in product(LABELERS, (0, 1))}
+    share = dict.fromkeys(KINDS, 0.5)
     soft = [0.5] * len(counted)
     for _ in range(ROUNDS):
         for i, r in enumerate(counted):
@@ -203,14 +205,14 @@ def train(counted: list[dict]) -> Classifier:
             soft[i] = 1 / (1 + math.exp(-max(-40.0, min(40.0, odds))))
         for kind in KINDS:  # priors keep what few spans say from being taken as certain
             own = [(r["n"], p) for r, p in zip(counted, soft, strict=True) if r["kind"] == kind]
-            share[kind] = (7 + sum(n * p for n, p in own)) / (10 + sum(n for n, _ in own))
+            share[kind] = (5 + sum(n * p for n, p in own)) / (10 + sum(n for n, _ in own))
             share[kind] = min(0.99, max(0.01, share[kind]))
         for j in LABELERS:
             said = [(r["n"], r[j], p) for r, p in zip(counted, soft, strict=True) if r[j] >= 0]
             one = (sum(n * p for n, v, p in said if v == 1), sum(n * p for n, _, p in said))
             nil = (sum(n * (1 - p) for n, v, p in said if v == 0), sum(n * (1 - p) for n, _, p in said))
-            right[j, 1] = min(0.98, max(0.52, (8 + one[0]) / (10 + one[1])))
-            right[j, 0] = min(0.98, max(0.52, (8 + nil[0]) / (10 + nil[1])))
+            right[j, 1] = min(0.98, max(0.52, (10 * FIRST[j] + one[0]) / (10 + one[1])))
+            right[j, 0] = min(0.98, max(0.52, (10 * FIRST[j] + nil[0]) / (10 + nil[1])))
     features = [["bias", f"kind={r['kind']}", *(f"{j}={r[j]}" for j in LABELERS), f"parted={str(r['parted']).lower()}", f"length={r['length']}"] for r in counted]
     weights = dict.fromkeys((f for fs in features for f in fs), 0.0)
     total = sum(r["n"] for r in counted)

@@ -28,3 +28,27 @@ def test_run_on_odd_rows(spark, odd_docs, no_docs):
 def test_every_operator_is_registered():
     names = set(entry.queries())
     assert "pipeline" in names and all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 11))
+
+
+def test_run_agrees_with_brute_force(spark):
+    """The filters by their operators' own predictions, the classes over all pairs, the spans and pieces by plain Python."""
+    from loomspark.llm import quality, toxicity
+    from tests.llm.test_near_dedup import brute as brute_classes
+    from tests.llm.test_pii import brute as brute_spans
+    from tests.llm.test_tokens import check_packing, library_ids
+
+    sf = "/root/testdata/sf0.001"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    toxic = {r.doc_id for r in toxicity.toxicity(docs, labels).collect() if r.predicted == 1}
+    clean = docs.where(~docs.doc_id.isin(list(toxic)))
+    poor = {r.doc_id for r in quality.quality(clean, labels).collect() if r.predicted == 0}
+    kept = {r.doc_id: r.text for r in docs.collect() if r.doc_id not in toxic | poor}
+    classes = brute_classes(list(kept.items()))
+    left = {i: t for i, t in kept.items() if classes[i] == i}
+    for i, t in left.items():
+        for start, _, end, kind in reversed(brute_spans(t)):
+            t = t[:start] + f"[{kind.upper()}]" + t[end:]
+        left[i] = t
+    rows = [r.asDict() for r in corpus_pipeline.run(spark, sf).collect()]
+    assert {r["doc_id"] for r in rows} == set(left)
+    check_packing(rows, dict(zip(left, [x + [2] for x in library_ids("word_bpe_49k.json", list(left.values()))])))
