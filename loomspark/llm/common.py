@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +14,24 @@ BATCH_ROWS = 512
 BATCH_BYTES = 16 << 20
 
 
+#: What a Python worker keeps between tasks, by operator: how to let go of it.
+_KEPT: dict[str, list[Callable[[], object]]] = {}
+_running: list[str] = [""]
+
+
+def keeps(operator: str, forget: Callable[[], object]) -> None:
+    """``operator`` keeps something between a worker's tasks; ``forget`` frees it."""
+    _KEPT.setdefault(operator, []).append(forget)
+
+
+def entering(operator: str) -> None:
+    """Called where a task begins: a worker that turns to another operator frees what the one before kept."""
+    if _running[0] != operator:
+        for forget in _KEPT.get(_running[0], []):
+            forget()
+        _running[0] = operator
+
+
 #: The temporary folder of each application that has no shared one.
 _OWN: dict[str, str] = {}
 

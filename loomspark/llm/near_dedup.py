@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomspark.llm.common import bounded_batches, table, texts, written
+from loomspark.llm.common import bounded_batches, entering, keeps, table, texts, written
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 20, 4
@@ -133,6 +133,7 @@ def document_frequencies(docs: DataFrame) -> np.ndarray:
     """COUNTERS hashed counts of the documents that hold a shingle, then PART cells of which the first counts documents."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        entering("near_dedup")
         counts = np.zeros(COUNTERS + PART, np.int64)
         for b in batches:
             found = [shingles(t)[0] >> np.uint64(44) for t in b["text"]]
@@ -164,6 +165,10 @@ def variates() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     return r.astype(f), np.log(c).astype(f), b.astype(f), (np.log(c) + r * b - r).astype(f)
 
 
+keeps("near_dedup", variates.cache_clear)
+keeps("near_dedup", powers.cache_clear)
+
+
 def bands(h: np.ndarray, weights: np.ndarray) -> np.ndarray:
     """The BANDS band hashes of a weighted set; none for an empty one."""
     if not len(h):
@@ -223,6 +228,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     idf = spark.sparkContext.broadcast(inverse_frequencies(document_frequencies(rows)))  # COUNTERS floats: 4 MB
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        entering("near_dedup")
         weight = idf.value
         for b in batches:
             out = []

@@ -21,13 +21,13 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from loomspark.llm.common import bounded_batches, table
+from loomspark.llm.common import bounded_batches, entering, keeps, table
 
 MAX_TOKENS, MAX_SEGMENTS, END_ID = 4096, 512, 2
 #: Sequences of a task are numbered from its index times this.
 TASK_STRIDE = 1 << 36
 #: Runs whose ids a task keeps; beyond that it begins anew.
-RUNS_KEPT = 1_000_000
+RUNS_KEPT = 800_000
 
 
 class WordEncoder:
@@ -173,6 +173,7 @@ def pack(
     last = np.uint32(end_id).tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        entering("packing")
         words, packer, first = encoder(), Packer(max_tokens, max_segments, most_loss), TaskContext.get().partitionId() * TASK_STRIDE
         for batch in batches:
             ids = [x + last for x in words.encode(batch.column(1).to_pylist())]
@@ -193,6 +194,9 @@ def encoder_at(path: str) -> WordEncoder:
     return WordEncoder(path)
 
 
+keeps("packing", encoder_at.cache_clear)
+
+
 def public_encoder(name: str = "word_bpe_49k.json") -> Callable[[], WordEncoder]:
     def make() -> WordEncoder:
         import public_tokenizers

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspark.llm.common import bounded_batches, fold, free_name, labelled_sample, table, texts
+from loomspark.llm.common import bounded_batches, entering, fold, free_name, labelled_sample, table, texts
 
 #: Bounds of the training sample: labelled documents of each class, and chunks, spread evenly, of each of them.
 PER_CLASS, CHUNKS_EACH = 2000, 4
@@ -206,6 +206,7 @@ def scored(docs: DataFrame, net: Network | None, out: str = "score", text_col: s
 
     @F.pandas_udf("double")
     def score(text: pd.Series) -> pd.Series:
+        entering("quality")
         return pd.Series([1.0 if net is None else net.probability(b"" if t is None else t.encode()) for t in text], dtype=float)
 
     return docs.withColumn(out, score(F.col(text_col)))

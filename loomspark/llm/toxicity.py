@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspark.llm.common import bounded_batches, fold, free_name, labelled_sample, table, texts, written
+from loomspark.llm.common import bounded_batches, entering, fold, free_name, labelled_sample, table, texts, written
 
 #: Bound of the training sample: labelled documents of each class.
 PER_CLASS = 3000
@@ -217,6 +217,7 @@ def scored(docs: DataFrame, lexicon: Lexicon, out: str = "score", text_col: str
 
     @F.pandas_udf("double")
     def score(text: pd.Series) -> pd.Series:
+        entering("toxicity")
         return pd.Series(lexicon.score(["" if t is None else t for t in text]), dtype=float)
 
     return docs.withColumn(out, score(F.col(text_col)))
