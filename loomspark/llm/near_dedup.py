@@ -5,7 +5,9 @@ in the text times an inverse document frequency. Each of SAMPLES consistent
 samples picks a shingle and a level such that two texts pick alike with a
 probability equal to their weighted Jaccard similarity. Samples are joined to
 bands; texts that share a band are candidates, and a candidate pair is a link
-if its exact similarity is THRESHOLD or more.
+if its exact similarity, weighted or plain, is THRESHOLD or more. So each text
+has the bands of its weighted set and those of its plain set, where every
+shingle weighs 1: what is similar in either way is proposed.
 
 Document frequencies are counted over all documents in a table of hashed
 counters of a fixed size, less the mean load that other shingles put on a
@@ -169,31 +171,34 @@ keeps("near_dedup", variates.cache_clear)
 keeps("near_dedup", powers.cache_clear)
 
 
-def bands(h: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """The BANDS band hashes of a weighted set; none for an empty one."""
-    if not len(h):
-        return np.zeros(0, np.int64)
+def least(h: np.ndarray, which: np.ndarray, weights: np.ndarray | None = None, found: tuple | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each sample's least key, its shingle and its level, among the shingles ``which`` (of weight 1 without ``weights``) and what was ``found`` before."""
     r, c, b, one = variates()
     row = (h & np.uint64(VARIATES - 1)).astype(np.int64)
-    best = np.full(SAMPLES, np.inf, np.float32)
-    at, level = np.zeros(SAMPLES, np.int64), np.zeros(SAMPLES, np.int64)
     every = np.arange(SAMPLES)
-    for plain in (True, False):
-        which = np.flatnonzero((weights == 1) == plain)
-        for a in range(0, len(which), 4096):
-            i = which[a : a + 4096]
-            if plain:  # log of the weight is 0, so the level is floor(b) = 0
-                key, t = one.take(row[i], 1), None
-            else:
-                rr, bb = r.take(row[i], 1), b.take(row[i], 1)
-                t = np.floor(np.log(weights[i]).astype(np.float32) / rr + bb)
-                key = c.take(row[i], 1) - rr * (t - bb + 1)
-            j = key.argmin(1)
-            k = key[every, j]
-            # Ties go to the smaller hash, whatever the order in which they are met.
-            better = (k < best) | ((k == best) & (h[i[j]] < h[at]))
-            best[better], at[better] = k[better], i[j][better]
-            level[better] = 0 if t is None else t[every, j][better].astype(np.int64)
+    if found is None:
+        found = np.full(SAMPLES, np.inf, np.float32), np.zeros(SAMPLES, np.int64), np.zeros(SAMPLES, np.int64)
+    best, at, level = (x.copy() for x in found)
+    for a in range(0, len(which), 4096):
+        i = which[a : a + 4096]
+        if weights is None:  # log of the weight is 0, so the level is floor(b) = 0
+            key, t = one.take(row[i], 1), None
+        else:
+            rr, bb = r.take(row[i], 1), b.take(row[i], 1)
+            t = np.floor(np.log(weights[i]).astype(np.float32) / rr + bb)
+            key = c.take(row[i], 1) - rr * (t - bb + 1)
+        j = key.argmin(1)
+        k = key[every, j]
+        # Ties go to the smaller hash, whatever the order in which they are met.
+        better = (k < best) | ((k == best) & (h[i[j]] < h[at]))
+        best[better], at[better] = k[better], i[j][better]
+        level[better] = 0 if t is None else t[every, j][better].astype(np.int64)
+    return best, at, level
+
+
+def joined(h: np.ndarray, found: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
+    """The BANDS band hashes of samples."""
+    _, at, level = found
     sample = mixed(h[at] ^ mixed(level.astype(np.uint64) + np.uint64(1)))
     out = np.arange(1, BANDS + 1, dtype=np.uint64)
     for k in range(ROWS):
@@ -201,6 +206,26 @@ def bands(h: np.ndarray, weights: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
+def bands(h: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """The BANDS band hashes of a weighted set; none for an empty one."""
+    if not len(h):
+        return np.zeros(0, np.int64)
+    plain, other = np.flatnonzero(weights == 1), np.flatnonzero(weights != 1)
+    return joined(h, least(h, other, weights, least(h, plain)))
+
+
+def signature(h: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """The distinct band hashes of a set, weighted and plain, in order: from BANDS to twice as many; none for an empty one.
+
+    Both kinds are numbered alike, so that a band whose samples all have weight 1 is one.
+    """
+    if not len(h):
+        return np.zeros(0, np.int64)
+    plain, other = np.flatnonzero(weights == 1), np.flatnonzero(weights != 1)
+    start = least(h, plain)
+    return np.unique(np.concatenate([joined(h, least(h, other, None, start)), joined(h, least(h, other, weights, start))]))
+
+
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], weight: Callable[[np.ndarray], np.ndarray]) -> float:
     """The larger of weighted and plain Jaccard similarity of two (hashes, counts)."""
     _, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
@@ -234,7 +259,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             out = []
             for t in b.column(2).to_pylist():
                 h, n = shingles(t)
-                out.append(bands(h, n * weight[(h >> np.uint64(44)).astype(np.int64)]))
+                out.append(signature(h, n * weight[(h >> np.uint64(44)).astype(np.int64)]))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.list_(pa.int64()))], names=["doc_id", "digest", "bands"])
 
     digest = F.unhex(F.sha2(F.col("text"), 256))
@@ -292,8 +317,8 @@ def _cross(members: DataFrame, nodes: DataFrame) -> DataFrame:
     full = members.join(nodes.select("node", "bands"), "node")
     x, y = full.alias("x"), full.alias("y")
     place = F.array_position("x.bands", F.col("x.band"))
-    before = F.zip_with(F.slice("x.bands", 1, place - 1), F.slice("y.bands", 1, place - 1), lambda p, q: p == q)
-    on = (F.col("x.band") == F.col("y.band")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.label") != F.col("y.label")) & ~F.exists(before, lambda same: same)
+    before = F.slice("x.bands", 1, (place - 1).cast("int"))
+    on = (F.col("x.band") == F.col("y.band")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.label") != F.col("y.label")) & ~F.arrays_overlap(before, "y.bands")
     return x.join(y, on).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
 
 

@@ -141,3 +141,29 @@ def test_words_hash_alike_wherever_they_stand(monkeypatch):
     assert (nd.word_hashes(text) == whole).all() and len(whole) == len(text.split())
     assert whole[0] == whole[6] and whole[1] == whole[5] and len(set(whole.tolist())) == len(whole) - 2
     assert len(nd.word_hashes(" \n")) == 0
+
+
+def test_plain_links_of_repeated_passages_are_found(spark):
+    """A passage repeated 10 or 50 more times leaves the plain similarity at 0.8 or more and takes the weighted one to 0.5 or 0.2."""
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(8))
+    docs = []
+    for i in range(60):
+        w = [word() for _ in range(104)]
+        docs += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(w + w[-14:] * (10 if i % 2 else 50)))]
+    want = brute(docs)
+    assert all(want[2 * i + 1] == 2 * i for i in range(60))
+    got = {r.doc_id: r.class_id for r in nd.classes(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == want
+
+
+def test_plain_links_of_frequent_shingles_are_proposed():
+    """Shared shingles of the least weight and edits of weight 1: plain similarity 0.8, weighted 0.67."""
+    weighted = proposed = 0
+    for i in range(1000):
+        h = nd.mixed(np.arange(1000 * i + 1, 1000 * i + 101, dtype=np.uint64))
+        a, b = (np.sort(np.concatenate([h[:80], h[x : x + 10]])) for x in (80, 90))
+        wa, wb = (np.where(np.isin(x, h[:80]), nd.LEAST_WEIGHT, 1.0) for x in (a, b))
+        weighted += bool(np.isin(nd.bands(a, wa), nd.bands(b, wb)).any())
+        proposed += bool(np.isin(nd.signature(a, wa), nd.signature(b, wb)).any())
+    assert weighted < 998 and proposed == 1000
