@@ -34,7 +34,7 @@ K, EVERY = 10, 100
 SAMPLE, CALIBRATION, BLOCK = 20_000, 200, 2048
 BRANCH, LEAF_SAMPLE, LEAF_ROWS, ROUNDS = 8, 8, 400, 8
 #: The share of true neighbours that the visited leaves must hold for the calibration's vectors.
-RECALL = 0.95
+RECALL = 0.97
 
 
 @dataclass

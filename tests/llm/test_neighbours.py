@@ -60,3 +60,11 @@ def test_tree_visits_every_leaf_once():
     assert sorted(tree.visits(x[0], 10**6)) == list(range(tree.leaves)) and tree.leaves > 10
     first = [tree.visits(v, 1)[0] for v in x[:50]]
     assert np.mean(tree.assign(x[:50]) == first) > 0.7
+
+
+def test_the_search_aims_at_its_target(spark, monkeypatch):
+    aimed, calibrate = [], nn.calibrate
+    monkeypatch.setattr(nn, "calibrate", lambda *a: aimed.append(a[-1]) or calibrate(*a))
+    x = np.random.default_rng(4).normal(size=(300, 4)).tolist()
+    assert nn.neighbours(spark.createDataFrame(list(enumerate(x)), "vec_id long, embedding array<double>")).count() == 30
+    assert aimed == [0.97]
