@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomspark.functions import html, jsonx, text
@@ -379,6 +379,40 @@ def json_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("event_id", "t.participant_count", "t.regional_focus", F.array_join("t.themes", ";").alias("themes"), F.col("t.error").isNotNull().alias("failed"))
 
 
+#: What would end a description or a page in running text; a backslash before the last part keeps it from doing so.
+_ENDS = (r"(\n)(\\*(?:Report|The co-organisers|Call to Action|Session Report))", r"(UNITED NATIONS\n)(\\*Contact information)", r"(Secretariat )(\\*of the Internet Governance Forum)")
+
+
+def _escaped(c: Column) -> Column:
+    c = F.concat(F.lit("\n"), c)
+    for p in _ENDS:
+        c = F.regexp_replace(c, p, r"$1\\$2")
+    return F.substring(c, 2, 2**31 - 1)
+
+
+def _unescaped(c: Column) -> Column:
+    c = F.concat(F.lit("\n"), c)
+    for p in _ENDS:
+        c = F.regexp_replace(c, p.replace("(\\\\*", "\\\\(\\\\*"), "$1$2")
+    return F.substring(c, 2, 2**31 - 1)
+
+
+def section_parts(d: DataFrame) -> DataFrame:
+    """Pages of headings built from whole documents, then taken apart: (doc_id, s)."""
+    body = F.concat(
+        F.lit("Head\nTheme\n"), "source", F.lit("\nSpeakers\nA "), "lang", F.lit("\n B "), "lang", F.lit("\nSDGs\nGoal "), F.col("doc_id") % 17,
+        F.lit("\nFormat\nPanel\nDescription\n"), _escaped(F.col("text")), F.lit("\nReport\nDone "), "doc_id", F.lit("\n\n"), F.lit("UNITED NATIONS\nContact information\nx"),
+    )
+    s = d.select("doc_id", text.sections(text.without_boilerplate(body)).alias("s"))
+    return s.withColumn("s", F.col("s").withField("description", _unescaped(F.col("s.description"))))
+
+
+@query("section_texts")
+def section_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole text under its heading, and what follows it."""
+    return section_parts(table(spark, sf_dir, "documents")).select("doc_id", "s.description", "s.report")
+
+
 _FIRST = "string_split(replace(text, chr(10), ' '), '.')[1]"
 
 
@@ -389,16 +423,12 @@ SELECT doc_id, source AS theme, 'N/A' AS subtheme, 'A ' || lang || ';B ' || lang
 CASE WHEN s = '' THEN 'N/A' ELSE s END AS description, 'Done ' || doc_id AS report FROM d""",
 )
 def section_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages of headings built from the documents, then taken apart."""
-    d = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", F.trim(F.substring(F.get(F.split(F.translate("text", "\n", " "), r"\."), F.lit(0)), 1, 60)).alias("s"))
-    body = F.concat(
-        F.lit("Head\nTheme\n"), "source", F.lit("\nSpeakers\nA "), "lang", F.lit("\n B "), "lang", F.lit("\nSDGs\nGoal "), F.col("doc_id") % 17,
-        F.lit("\nFormat\nPanel\nDescription\n"), "s", F.lit("\nReport\nDone "), "doc_id", F.lit("\n\n"), F.lit("UNITED NATIONS\nContact information\nx"),
-    )
-    s = d.select("doc_id", text.sections(text.without_boilerplate(body)).alias("s"))
+    """Sections of the documents' pages; of a description, which the parser reads whole, what the SQL shows."""
+    s = section_parts(table(spark, sf_dir, "documents"))
+    first = F.trim(F.substring(F.get(F.split(F.translate("s.description", "\n", " "), r"\."), F.lit(0)), 1, 60))
     return s.select(
         "doc_id", "s.metadata.theme", "s.metadata.subtheme", F.array_join("s.metadata.speakers", ";").alias("speakers"),
-        F.array_join("s.metadata.sdgs", ";").alias("sdgs"), "s.metadata.format", "s.description", "s.report",
+        F.array_join("s.metadata.sdgs", ";").alias("sdgs"), "s.metadata.format", F.coalesce(F.nullif(first, F.lit("")), F.lit("N/A")).alias("description"), "s.report",
     )
 
 
