@@ -495,7 +495,7 @@ def _result(signed: DataFrame, nodes: DataFrame, label: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each class, that of its smallest id, and the columns they had."""
-    found = classes(docs, id_col, text_col).where("node = class_id").where("doc_id is null or doc_id = node").select("doc_id", "digest").distinct()
+    found = classes(docs, id_col, text_col).where("node = class_id").where((F.col("doc_id") == F.col("node")) | F.col("doc_id").isNull() & (F.col("node") >= NO_ID)).select("doc_id", "digest").distinct()
     found = found.select(F.col("doc_id").alias("kept_id"), F.col("digest").alias("kept_digest"))
     packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(id_col).cast("long").alias("id"), F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)).alias("digest"))
     kept = packed.join(found, packed["id"].eqNullSafe(found["kept_id"]) & (packed["digest"] == found["kept_digest"]), "left_semi")

@@ -167,3 +167,8 @@ def test_plain_links_of_frequent_shingles_are_proposed():
         weighted += bool(np.isin(nd.bands(a, wa), nd.bands(b, wb)).any())
         proposed += bool(np.isin(nd.signature(a, wa), nd.signature(b, wb)).any())
     assert weighted < 998 and proposed == 1000
+
+
+def test_keep_one_drops_a_row_without_an_id_beside_one_with(spark):
+    df = spark.createDataFrame([(None, "one text"), (5, "one text"), (None, "another"), (None, "another")], "doc_id long, text string")
+    assert sorted(map(str, nd.keep_one(df).collect())) == ["Row(doc_id=5, text='one text')", "Row(doc_id=None, text='another')"]
