@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -32,44 +31,87 @@ def entering(operator: str) -> None:
         _running[0] = operator
 
 
-#: The temporary folder of each application that has no shared one.
-_OWN: dict[str, str] = {}
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The Parquet table ``name`` of a data folder, read by Spark alone."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Bound what one Arrow batch holds, whatever the length of the documents."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    """Bound what one Arrow batch holds, whatever the length of the documents; tighter bounds of the session stay.
 
+    Spark reads these options when a plan runs, so they must still hold when
+    the caller uses the result: they stay set for the session.
+    """
+    for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        name = f"spark.sql.execution.arrow.{key}"
+        text = spark.conf.get(name).removesuffix("b")
+        now = int(text) if text.isdigit() else 0
+        if not 0 < now <= most:
+            spark.conf.set(name, str(most))
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where that is unset, as in local tests, a temporary folder of this
-    machine takes its place.
-    """
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; where that is unset, one in the warehouse."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        app = spark.sparkContext.applicationId
-        found = _OWN.get(app) or _OWN.setdefault(app, tempfile.mkdtemp(prefix="loomspark-"))
-    return found.rstrip("/")
+    return found.rstrip("/") if found else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/loomspark"
+
+
+def _store(spark: SparkSession, path: str):
+    """(Hadoop path, its file system), whatever store the path names."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A path of its own below the application's folder, which goes when the driver's JVM ends."""
+    root = f"{shared_dir(spark)}/loomspark-{spark.sparkContext.applicationId}"
+    place, store = _store(spark, root)
+    if not store.exists(place):
+        store.mkdirs(place)
+        store.deleteOnExit(place)
+    return f"{root}/{name}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table in the shared folder: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = fresh_path(spark, name)
+    return _written(df, fresh_path(df.sparkSession, name))
+
+
+def _written(df: DataFrame, path: str) -> DataFrame:
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+class Scratch:
+    """The intermediate tables and broadcasts of one call; all of them go at the end of the ``with`` block.
+
+    What is still needed afterwards is written with ``written`` instead.
+    """
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.path, self.number = spark, fresh_path(spark, name), 0
+        self.shared: list = []
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *error: object) -> None:
+        for b in self.shared:
+            b.unpersist()
+        self.drop("")
+
+    def written(self, df: DataFrame, name: str) -> DataFrame:
+        self.number += 1
+        return _written(df, f"{self.path}/{name}-{self.number}")
+
+    def broadcast(self, value):
+        self.shared.append(self.spark.sparkContext.broadcast(value))
+        return self.shared[-1]
+
+    def drop(self, name: str) -> None:
+        """Removes one table, or all for the empty name."""
+        place, store = _store(self.spark, f"{self.path}/{name}" if name else self.path)
+        store.delete(place, True)
 
 
 def free_name(df: DataFrame, name: str) -> str:
@@ -96,8 +138,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, parts: int,
     Only rows whose fold isn't ``held_out`` are looked at. Within a class those
     with the smallest hash of their id are taken, so the sample is the same for
     any partitioning. The ids, at most two times ``per_class`` of them, are
-    broadcast; that is the size bound. Contradicting rows of an id count once,
-    with the larger label.
+    broadcast; that is the size bound. Contradicting labels of an id count once,
+    with the larger one; of rows of ``docs`` that share an id, that of the
+    smallest text is taken.
     """
     known = (
         labels.select(F.col("doc_id"), F.col(label).cast("int").alias("label"))
@@ -109,5 +152,5 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, parts: int,
     chosen = [r for y in (0, 1) for r in known.where(F.col("label") == y).orderBy(*order).limit(per_class).collect()]
     spark = docs.sparkSession
     ids = spark.createDataFrame([(r["doc_id"], r["label"]) for r in chosen], "doc_id long, label int")
-    picked = texts(docs).join(F.broadcast(ids), "doc_id")
-    return picked, {0: counts.get(0, 0), 1: counts.get(1, 0)}
+    picked = texts(docs).join(F.broadcast(ids), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+    return picked.select("doc_id", "text", "label"), {0: counts.get(0, 0), 1: counts.get(1, 0)}
