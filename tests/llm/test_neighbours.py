@@ -23,12 +23,41 @@ def found(df):
     return out
 
 
+def recall_of(want, got):
+    return sum(len({a for a, _ in want[q]} & {a for a, _ in got.get(q, [])}) for q in want) / sum(map(len, want.values()))
+
+
+def test_recall_comes_from_the_leaves(spark, monkeypatch):
+    """A sample of a twentieth of the table, several blocks a leaf, and clusters: recall falls when one leaf alone is opened."""
+    monkeypatch.setattr(nn, "SAMPLE", 120)
+    monkeypatch.setattr(nn, "BLOCK", 60)
+    monkeypatch.setattr(nn, "QUERIES", 7)
+    r = np.random.default_rng(6)
+    centers = r.normal(size=(40, 12))
+    x = centers[r.integers(0, 40, 2400)] + 0.6 * r.normal(size=(2400, 12))
+    rows = list(enumerate(x.tolist()))
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    want = brute(rows, every=20)
+    assert recall_of(want, found(nn.neighbours(df, every=20))) >= 0.9
+    assert found(nn.neighbours(df, every=20, recall=1.0)) == want
+    monkeypatch.setattr(nn, "calibrate", lambda *a: 1)
+    few = found(nn.neighbours(df, every=20))
+    assert recall_of(want, few) < 0.8 and all(len(v) == 10 for v in few.values())
+
+
+def test_regions_hold_every_leaf_and_are_bounded():
+    held = np.array([0, 4000, 90, 7, 9000, 0, 1, 4096, 1])
+    region, blocks = nn.regions(held)
+    assert region.tolist() == [0, 0, 0, 1, 2, 3, 3, 4, 5] and blocks.tolist() == [1, 1, 3, 1, 1, 1]
+
+
 def test_recall_on_embeddings(spark):
     v = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
     want, got = brute([(r.vec_id, r.embedding) for r in v.collect()]), found(nn.query(spark, "/root/testdata/sf0.1"))
     assert set(want) == set(got)
-    hits = sum(len({a for a, _ in want[q]} & {a for a, _ in got[q]}) for q in want)
-    assert hits >= 0.9 * sum(map(len, want.values()))
+    share = recall_of(want, got)
+    print("recall", share)
+    assert 0.9 <= share
     for q in got:
         d = dict(got[q])
         assert got[q] == sorted(got[q], key=lambda x: (x[1], x[0]))
