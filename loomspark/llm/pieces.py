@@ -3,26 +3,39 @@
 The text is normalised through the model's compiled character map: at each
 place the longest source prefix that the map knows is replaced, else one
 character is copied. The normaliser records, for every byte it writes, the
-source byte it came from. The library's pieces, whose lengths in normalised
-bytes are known from the vocabulary, are laid over that record, which gives
-every piece its span of original bytes. The spans cover the text gaplessly.
+source byte it came from. The normalised text is cut to pieces by the model's
+merges, best score first and leftmost of equal ones, and what no piece covers
+becomes byte pieces. The record gives every piece its span of original bytes;
+the spans cover the text gaplessly.
+
+Where no map moves spaces and no piece holds a space mark behind another
+character, no merge goes across the beginning of a run of spaces. Such a text
+is cut there, and normaliser and merges run once for each different part that
+a worker meets.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
+import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from functools import cached_property
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspark.llm.common import bounded_batches, table, texts
+from loomspark.llm.common import bounded_batches, entering, keeps, table, texts
 
-SPACE = "▁".encode()
+MARK = "▁"
+SPACE = MARK.encode()
+#: Parts whose pieces a worker keeps, and the characters of the longest of them; beyond that number it begins anew.
+PARTS_KEPT, PART_CHARS = 400_000, 64
+#: A run of spaces and what follows it.
+PART = re.compile(f"[ {MARK}]*[^ {MARK}]+|[ {MARK}]+")
 
 
 class CharacterMap:
@@ -61,33 +74,35 @@ class Encoded:
 
 
 class Pieces:
-    """A model with its normaliser; ``encode`` and ``decode`` agree with the library."""
+    """A BPE model with its normaliser; ``encode`` and ``decode`` agree with the library."""
 
     def __init__(self, path: str):
         from sentencepiece import SentencePieceProcessor
         from sentencepiece import sentencepiece_model_pb2 as model
 
-        self.path = path
-        self.library = SentencePieceProcessor(model_file=path)
+        self.library = SentencePieceProcessor(model_file=path)  # decodes
         spec = model.ModelProto()
         with open(path, "rb") as f:
             spec.ParseFromString(f.read())
         self.spec = spec.normalizer_spec
         self.map = CharacterMap(self.spec.precompiled_charsmap)
-        byte = model.ModelProto.SentencePiece.BYTE
-        unknown = model.ModelProto.SentencePiece.UNKNOWN
-        #: Normalised bytes of each piece; -1 where they depend on the text.
-        self.lengths = np.array([1 if p.type == byte else -1 if p.type == unknown else len(p.piece.encode()) for p in spec.pieces], np.int64)
-        self.bos, self.eos = self.library.bos_id(), self.library.eos_id()
-
-    @cached_property
-    def identity(self) -> bool:
-        return not self.map.units and not self.spec.remove_extra_whitespaces and self.spec.escape_whitespaces
-
-    def normalise(self, source: bytes) -> tuple[bytes, np.ndarray]:
-        """The normalised bytes and, for each of them and for the end, the source byte where it begins."""
-        if self.identity:
-            return self._identity(source)
+        kind = model.ModelProto.SentencePiece
+        plain = (kind.NORMAL, kind.USER_DEFINED)
+        if spec.trainer_spec.model_type != model.TrainerSpec.BPE or any(p.type == kind.USER_DEFINED for p in spec.pieces):
+            raise ValueError("only BPE models without pieces of users' own are known")
+        #: Pieces that merges make: text to (score, id).
+        self.known = {p.piece: (p.score, i) for i, p in enumerate(spec.pieces) if p.type in plain}
+        self.bytes = {int(p.piece[3:5], 16): i for i, p in enumerate(spec.pieces) if p.type == kind.BYTE}
+        self.unknown, self.bos, self.eos = self.library.unk_id(), self.library.bos_id(), self.library.eos_id()
+        apart = not any(MARK in p.lstrip(MARK) for p in self.known)
+        self.cuts = apart and not self.map.units and not self.spec.remove_extra_whitespaces and self.spec.escape_whitespaces
+        self.parts: dict[str, tuple[bytes, bytes]] = {}
+
+    def normalise(self, source: bytes, begins: bool = True) -> tuple[bytes, np.ndarray]:
+        """The normalised bytes and, for each of them and for the end, the source byte where it begins.
+
+        ``begins``: whether a text begins here, which the model may mark with a space.
+        """
         out, origin, at = bytearray(), [], 0
         before_space = self.spec.remove_extra_whitespaces
         put = lambda piece, src: (out.extend(piece), origin.extend([src] * len(piece)))
@@ -95,7 +110,7 @@ class Pieces:
         if self.spec.remove_extra_whitespaces:
             while at < len(source) and (step := self._step(source, at))[1] == b" ":
                 at += step[0]
-        if at < len(source) and self.spec.add_dummy_prefix:
+        if begins and at < len(source) and self.spec.add_dummy_prefix:
             put(space, at)
         while at < len(source):
             used, text = self._step(source, at)
@@ -121,61 +136,116 @@ class Pieces:
         width = 1 + (source[at] >= 0xC0) + (source[at] >= 0xE0) + (source[at] >= 0xF0)
         return width, source[at : at + width]
 
-    def _identity(self, source: bytes) -> tuple[bytes, np.ndarray]:
-        """An empty map copies everything: each space becomes three bytes, the rest stays, so numpy does it."""
-        if not source:
-            return b"", np.zeros(1, np.int64)
-        wide = np.where(np.frombuffer(source, np.uint8) == 32, 3, 1)
-        origin = np.repeat(np.arange(len(source)), wide)
-        lead = len(SPACE) if self.spec.add_dummy_prefix else 0
-        return SPACE * (lead > 0) + source.replace(b" ", SPACE), np.concatenate([np.zeros(lead, np.int64), origin, [len(source)]])
+    def merged(self, text: str) -> list[str]:
+        """The symbols that are left when no two neighbours make a known piece."""
+        held = list(text)
+        after, before = list(range(1, len(held) + 1)), list(range(-1, len(held) - 1))
+        queue: list[tuple[float, int, int]] = []
+
+        def offer(i: int, j: int) -> None:
+            if 0 <= i and j < len(held) and (found := self.known.get(held[i] + held[j])):
+                heapq.heappush(queue, (-found[0], i, len(held[i]) + len(held[j])))
+
+        for i in range(len(held) - 1):
+            offer(i, i + 1)
+        while queue:
+            _, i, size = heapq.heappop(queue)
+            j = after[i] if held[i] else len(held)
+            if j >= len(held) or len(held[i]) + len(held[j]) != size:  # one of the two was merged meanwhile
+                continue
+            held[i], held[j] = held[i] + held[j], ""
+            after[i] = after[j]
+            if after[i] < len(held):
+                before[after[i]] = i
+            offer(before[i], i), offer(i, after[i])
+        return [x for x in held if x]
+
+    def _part(self, text: str, begins: bool) -> tuple[bytes, bytes]:
+        """The ids of a part, and how many source bytes each of them spans, as little-endian 32-bit numbers."""
+        source = text.encode()
+        normal, origin = self.normalise(source, begins)
+        ids, at, starts = [], 0, []
+        for symbol in self.merged(normal.decode()):
+            raw = symbol.encode()
+            if found := self.known.get(symbol):
+                ids.append(found[1]), starts.append(at)
+            elif self.bytes:
+                ids += [self.bytes[x] for x in raw]
+                starts += range(at, at + len(raw))
+            elif not ids or ids[-1] != self.unknown:  # unknown symbols on end are one
+                ids.append(self.unknown), starts.append(at)
+            at += len(raw)
+        begin = origin[np.array([*starts, len(normal)], np.int64)]
+        return np.array(ids, "<u4").tobytes(), np.diff(begin).astype("<u4").tobytes()
+
+    def encoded(self, text: str) -> tuple[bytes, bytes]:
+        """Ids of a text without begin and end, and the source bytes of each."""
+        if not self.cuts:
+            return self._part(text, True)
+        parts = PART.findall(text)
+        if not parts:
+            return b"", b""
+        known, first = self.parts, self._part(parts[0], True)
+        if len(known) > PARTS_KEPT:
+            known.clear()
+        found = list(map(known.get, parts[1:]))
+        if None in found:
+            for i, x in enumerate(found):
+                if x is None:
+                    part = parts[i + 1]
+                    found[i] = known.get(part) or self._part(part, False)
+                    if len(part) <= PART_CHARS:
+                        known[part] = found[i]
+        found.insert(0, first)
+        return b"".join([x for x, _ in found]), b"".join([x for _, x in found])
 
     def encode(self, values: list[str]) -> list[Encoded]:
         out = []
-        for text, ids in zip(values, self.library.encode(values, num_threads=1), strict=True):
-            ids = np.array(ids, np.int64)
-            normal, origin = self.normalise(text.encode())
-            widths = self.lengths[ids]
-            if (widths < 0).any():  # an unknown run: the library says which text each piece has
-                widths = np.array([len(p.encode()) for p in self.library.encode(text, out_type=str)], np.int64)
+        for text in values:
+            ids, widths = (np.frombuffer(x, "<u4").astype(np.int64) for x in self.encoded(text))
             ends = np.cumsum(widths)
-            if (ends[-1] if len(ends) else 0) != len(normal):
-                raise ValueError("the pieces don't cover the normalised text")
-            begin = np.concatenate([[0], origin[ends[:-1]], [0]]) if len(ids) else np.zeros(1, np.int64)
-            stop = origin[ends] if len(ids) else np.zeros(0, np.int64)
             size = len(text.encode())
-            starts = np.concatenate([[0], begin[:-1] if len(ids) else [], [size]]).astype(np.int64)
-            out.append(Encoded(np.concatenate([[self.bos], ids, [self.eos]]), starts, np.concatenate([[0], stop, [size]]).astype(np.int64)))
+            out.append(Encoded(np.concatenate([[self.bos], ids, [self.eos]]), np.concatenate([[0], ends - widths, [size]]), np.concatenate([[0], ends, [size]])))
         return out
 
-    def decode(self, ids: np.ndarray) -> str:
-        return self.library.decode(ids.tolist())
+    def decode(self, ids: list[list[int]]) -> list[str]:
+        return self.library.decode(ids, num_threads=1) if ids else []
+
+
+@lru_cache(maxsize=2)
+def pieces_at(path: str) -> Pieces:
+    """One model for the life of a Python worker, so that its tasks share what is known."""
+    return Pieces(path)
+
+
+keeps("pieces", pieces_at.cache_clear)
 
 
 def public_pieces(name: str = "piece_bpe_32k.model") -> Callable[[], Pieces]:
     def make() -> Pieces:
         import public_tokenizers
 
-        return Pieces(public_tokenizers.path(name))
+        return pieces_at(public_tokenizers.path(name))
 
     return make
 
 
-def _mapped(docs: DataFrame, model: Callable[[], Pieces], columns: str, row: Callable, id_col: str, text_col: str) -> DataFrame:
+def _mapped(docs: DataFrame, model: Callable[[], Pieces], columns: str, rows: Callable[[Pieces, list[str]], list[tuple]], id_col: str, text_col: str) -> DataFrame:
     bounded_batches(docs.sparkSession)
-    rows = texts(docs, id_col, text_col)
-    schema = rows.select("doc_id").schema.simpleString()[len("struct<doc_id:") : -1]
+    base = texts(docs, id_col, text_col)
+    schema = base.select("doc_id").schema.simpleString()[len("struct<doc_id:") : -1]
     kinds = {"long": pa.int64(), "string": pa.string(), "array<int>": pa.list_(pa.int32()), "array<long>": pa.list_(pa.int64())}
     names, types = zip(*(c.rsplit(" ", 1) for c in columns.split(", ")), strict=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        entering("pieces")
         pieces = model()
         for b in batches:
-            found = [row(pieces, e) for e in pieces.encode(b.column(1).to_pylist())]
+            found = rows(pieces, b.column(1).to_pylist())
             cols = zip(*found, strict=True) if found else [[] for _ in names]
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(list(c), kinds[k]) for c, k in zip(cols, types, strict=True))], names=["doc_id", *names])
 
-    return rows.mapInArrow(run, f"doc_id {schema}, {columns}")
+    return base.mapInArrow(run, f"doc_id {schema}, {columns}")
 
 
 def encode(docs: DataFrame, model: Callable[[], Pieces], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -186,20 +256,26 @@ def encode(docs: DataFrame, model: Callable[[], Pieces], id_col: str = "doc_id",
     rows are encoded each; very long texts whole; an empty table gives no rows;
     other columns are ignored.
     """
-    return _mapped(docs, model, "ids array<int>, starts array<long>, ends array<long>", lambda _, e: (e.ids.astype(np.int32), e.starts, e.ends), id_col, text_col)
+    rows = lambda pieces, values: [(e.ids.astype(np.int32), e.starts, e.ends) for e in pieces.encode(values)]
+    return _mapped(docs, model, "ids array<int>, starts array<long>, ends array<long>", rows, id_col, text_col)
 
 
 def round_trip(docs: DataFrame, model: Callable[[], Pieces], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256, covered): digests of the ids and of the decoded text.
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256, spans_sha256): digests of the ids, of the decoded text and of the spans.
 
-    ``covered`` counts the bytes under the pieces' spans, all of them unless
-    the model drops white space. Edge cases as in ``encode``.
+    ``spans_sha256`` is the digest of the number of original bytes that each
+    piece spans, begin and end left out, as little-endian unsigned 32-bit
+    numbers. Edge cases as in ``encode``.
     """
-    def row(pieces: Pieces, e: Encoded) -> tuple:
-        ids = hashlib.sha256(e.ids.astype("<u4").tobytes()).hexdigest()
-        return len(e.ids), ids, hashlib.sha256(pieces.decode(e.ids).encode()).hexdigest(), int((e.ends - e.starts)[1:-1].sum())
 
-    return _mapped(docs, model, "n_tokens long, ids_sha256 string, decoded_sha256 string, covered long", row, id_col, text_col)
+    def rows(pieces: Pieces, values: list[str]) -> list[tuple]:
+        begin, end = (np.array([i], "<u4").tobytes() for i in (pieces.bos, pieces.eos))
+        found = [(begin + ids + end, widths) for ids, widths in map(pieces.encoded, values)]
+        decoded = pieces.decode([np.frombuffer(ids, "<u4").tolist() for ids, _ in found])
+        digest = lambda x: hashlib.sha256(x).hexdigest()
+        return [(len(ids) // 4, digest(ids), digest(t.encode()), digest(widths)) for (ids, widths), t in zip(found, decoded, strict=True)]
+
+    return _mapped(docs, model, "n_tokens long, ids_sha256 string, decoded_sha256 string, spans_sha256 string", rows, id_col, text_col)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -149,28 +149,58 @@ def test_packer_keeps_all_limits(items):
     assert all(x[0] <= 32 and x[1] <= 4 and x[2] <= 20 for x in sums.values())
 
 
-def test_pieces_agree_with_library(model):
-    for t, e in zip(ODD, model.encode(ODD)):
-        assert e.ids.tolist() == model.library.encode(t, add_bos=True, add_eos=True)
-        raw = t.encode()
-        assert b"".join(raw[a:b] for a, b in zip(e.starts, e.ends)) == raw
+def library_spans(model, text):
+    """(ids, source bytes of each piece) by the library's own alignment, in which the bytes of one character share its span."""
+    found = model.library.encode(text, return_type="proto").pieces
+    return [p.id for p in found], [(p.begin, p.end) for p in found]
 
 
-@settings(max_examples=60, deadline=None)
-@given(MIXED)
-def test_spans_and_normaliser(model, text):
-    normal, origin = model.normalise(text.encode())
-    slow = pieces.Pieces(model.path)
-    slow.__dict__["identity"] = False
-    again, origin2 = slow.normalise(text.encode())
-    assert normal == again and origin.tolist() == origin2.tolist()
+def check_pieces(model, text):
     (e,) = model.encode([text])
     raw = text.encode()
-    assert b"".join(raw[a:b] for a, b in zip(e.starts, e.ends)) == raw
     assert e.ids.tolist() == model.library.encode(text, add_bos=True, add_eos=True)
+    assert b"".join(raw[a:b] for a, b in zip(e.starts, e.ends)) == raw
+    ids, spans = library_spans(model, text)
+    bytes_ = set(model.bytes.values())
+    assert ids == e.ids[1:-1].tolist()
+    for i, (a, b), start, end in zip(ids, spans, e.starts[1:-1], e.ends[1:-1]):
+        if i not in bytes_:
+            assert (a, b) == (start, end)
+        else:
+            assert end - start == 1
 
 
-def test_longest_prefix_of_a_compiled_map():
+def test_pieces_agree_with_library(model):
+    for t in [*ODD, "x▁ y ▁z▁", " a  b   c    ", "<0x0A> <s> </s>", "日本 " * 50 + "語" * 300]:
+        check_pieces(model, t)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.one_of(MIXED, st.text(alphabet="ab ▁ethinos\n", max_size=60)))
+def test_any_text_and_its_spans(model, text):
+    check_pieces(model, text)
+
+
+def test_parts_cut_at_spaces_are_the_whole(model):
+    for r in ("the quick  brown fox, éü ▁ it", " two  spaces ", "x"):
+        ids, widths = model._part(r, True)
+        assert model.encoded(r) == (ids, widths)
+
+
+def test_normaliser_with_a_map_and_with_spaces_removed(model):
+    """A hand-made map: 'a' becomes 'x', 'ab' becomes 'yz'; extra spaces go."""
+    made = pieces.Pieces.__new__(pieces.Pieces)
+    made.map = hand_made_map()
+    made.spec = type("Spec", (), {"remove_extra_whitespaces": True, "add_dummy_prefix": True, "escape_whitespaces": True})
+    normal, origin = made.normalise(b"  cab  a ")
+    assert normal.decode() == "▁cyz▁x"
+    assert origin.tolist() == [2, 2, 2, 2, 3, 3, 5, 5, 5, 7, 8]
+    made.spec.remove_extra_whitespaces = False
+    normal, origin = made.normalise(b" a", begins=False)
+    assert normal.decode() == "▁x" and origin.tolist() == [0, 0, 0, 1, 2]
+
+
+def hand_made_map():
     """A small double array built by hand: 'a' -> 'x', 'ab' -> 'yz'."""
     units = [0] * 1024
     put = lambda node, label, base, leaf: units.__setitem__(node, (base << 10) | label | (0x100 if leaf else 0))
@@ -185,7 +215,11 @@ def test_longest_prefix_of_a_compiled_map():
     put(b, ord("b"), b ^ base_b, True)
     units[base_b] = 0x80000000 | 2
     blob = (4 * 1024).to_bytes(4, "little") + np.array(units, "<u4").tobytes() + b"x\0yz\0"
-    found = pieces.CharacterMap(blob)
+    return pieces.CharacterMap(blob)
+
+
+def test_longest_prefix_of_a_compiled_map():
+    found = hand_made_map()
     assert found.longest(b"ac", 0) == (1, b"x")
     assert found.longest(b"cab", 1) == (2, b"yz")
     assert found.longest(b"ca", 0) is None
@@ -196,7 +230,21 @@ def test_round_trip_rows(odd_docs, no_docs, model):
     want = []
     for r in odd_docs.collect():
         ids = model.library.encode(r.text or "", add_bos=True, add_eos=True)
-        want.append((r.doc_id, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(model.library.decode(ids).encode()).hexdigest(), len((r.text or "").encode())))
+        want.append((r.doc_id, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(model.library.decode(ids).encode()).hexdigest()))
     key = lambda x: (x[0] is None, x[0] or 0, x[1])
-    assert sorted(map(tuple, rows), key=key) == sorted(want, key=key)
+    assert sorted((tuple(r)[:4] for r in rows), key=key) == sorted(want, key=key)
+    for r in rows:
+        (e,) = model.encode([next(x.text or "" for x in odd_docs.collect() if x.doc_id == r.doc_id)])
+        assert r.spans_sha256 == hashlib.sha256((e.ends - e.starts)[1:-1].astype("<u4").tobytes()).hexdigest()
     assert pieces.encode(no_docs, pieces.public_pieces()).count() == 0
+
+
+def test_all_documents_round_trip(spark, model):
+    """Ids, text and spans of whole documents against the library, document by document."""
+    docs = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
+    rows = pieces.query(spark, "/root/testdata/sf0.01").collect()
+    assert len(rows) == len(docs)
+    for r in rows:
+        ids = model.library.encode(docs[r.doc_id], add_bos=True, add_eos=True)
+        assert r.n_tokens == len(ids) and r.ids_sha256 == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
+        assert r.decoded_sha256 == hashlib.sha256(model.library.decode(ids).encode()).hexdigest()
