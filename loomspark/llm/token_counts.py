@@ -6,6 +6,11 @@ counts; only distinct contents that the table lacks are encoded, and their
 counts are appended to it. Content is normalised in ways that can't change a
 count: a null is an empty text, and the rest is left alone, since the byte-level
 tokenizer has no normaliser of its own.
+
+Digests are looked up before any text moves. When the cache lacks nothing, no
+text is shuffled; when it lacks few, their digests are broadcast and theirs are
+the only texts that move; else texts are shuffled once, after each task has
+left one of its equal ones.
 """
 
 from __future__ import annotations
@@ -20,11 +25,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspark.llm.common import bounded_batches, fresh_path, table, texts, written
+from loomspark.llm.common import Scratch, bounded_batches, entering, fresh_path, table, texts, written
 
 LIMIT = 512
 CACHE_SCHEMA = "tokenizer string, digest binary, n_tokens long"
 SPECIAL = "<|endoftext|>"
+#: Digests of missing contents that are broadcast at most: 32 bytes each.
+FEW = 100_000
 
 
 class TokenCounter:
@@ -85,6 +92,7 @@ def encode_misses(distinct: DataFrame, json_name: str, ranks_name: str | None) -
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import public_tokenizers
 
+        entering("token_counts")
         counter = counter_at(public_tokenizers.path(json_name), ranks_name and public_tokenizers.path(ranks_name))
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(counter.counts(b.column(1).to_pylist()), pa.int64())], names=["digest", "n_tokens"])
@@ -111,7 +119,9 @@ def token_counts(
     A content that a third of all rows share is reduced before the shuffle to
     one row per task; joined back it is one row of counts against many, which
     adaptive execution splits. Tasks write the cache as committed Parquet files,
-    so a lost executor costs its own tasks alone.
+    so a lost executor costs its own tasks alone. The cache is stored by
+    tokenizer, so that counts of other versions aren't read; two runs at once
+    may both append a digest, which then counts once.
     """
     import public_tokenizers
 
@@ -120,17 +130,25 @@ def token_counts(
     base = texts(docs, id_col, text_col)
     digest = F.unhex(F.sha2(F.col("text"), 256))
     # The empty table makes the cache's folder, so that a first run reads it like any other.
-    spark.createDataFrame([], CACHE_SCHEMA).write.mode("append").parquet(cache_path)
-    stored = spark.read.schema(CACHE_SCHEMA).parquet(cache_path).where(F.col("tokenizer") == name).select("digest", "n_tokens")
-    distinct = base.select(digest.alias("digest"), "text").groupBy("digest").agg(F.first("text").alias("text"))
-    misses = distinct.join(stored.select("digest"), "digest", "left_anti")
-    encode_misses(misses, json_name, ranks_name).select(F.lit(name).alias("tokenizer"), "digest", "n_tokens").write.mode("append").parquet(cache_path)
-    # Two runs at once may both append a digest; it counts once. Written before the join, so that both
-    # sides of it are dealt for it alone and the rows of one content can be split.
-    known = spark.read.schema(CACHE_SCHEMA).parquet(cache_path).where(F.col("tokenizer") == name).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
-    known = written(known, "known-counts")
-    rows = base.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), digest.alias("digest"))
-    return rows.join(known, "digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    spark.createDataFrame([], CACHE_SCHEMA).write.mode("append").partitionBy("tokenizer").parquet(cache_path)
+    stored = lambda: spark.read.schema(CACHE_SCHEMA).parquet(cache_path).where(F.col("tokenizer") == name).select("digest", "n_tokens")
+    with Scratch(spark, "token-counts") as s:
+        rows = s.written(base.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), digest.alias("digest")), "rows")
+        digests = s.written(rows.select("digest").distinct(), "digests")
+        misses = s.written(digests.join(stored(), "digest", "left_anti"), "misses")
+        lacking = misses.count()
+        if lacking:
+            found = base.select(digest.alias("digest"), "text")
+            if lacking <= FEW:
+                found = found.join(F.broadcast(misses), "digest", "left_semi")
+            found = found.groupBy("digest").agg(F.first("text").alias("text"))
+            if lacking > FEW:
+                found = found.join(misses, "digest", "left_semi")
+            encode_misses(found, json_name, ranks_name).select(F.lit(name).alias("tokenizer"), "digest", "n_tokens").write.mode("append").partitionBy("tokenizer").parquet(cache_path)
+        # Grouped counts are written before they are joined, so that both sides are dealt for the join alone.
+        known = s.written(stored().join(digests, "digest", "left_semi").groupBy("digest").agg(F.max("n_tokens").alias("n_tokens")), "known")
+        counts = rows.join(known, "digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+        return written(counts, "token-counts")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

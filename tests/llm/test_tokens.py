@@ -78,6 +78,27 @@ def test_cache_encodes_only_misses(spark, odd_docs, monkeypatch):
     assert spark.read.parquet(path).count() == 7
 
 
+def test_a_run_that_lacks_nothing_moves_no_text(spark, odd_docs, monkeypatch):
+    """The second run encodes nothing; few misses are the only texts that reach an encoder; many go by the other way."""
+    path, seen = fresh_path(spark, "cache"), []
+    encode = token_counts.encode_misses
+    monkeypatch.setattr(token_counts, "encode_misses", lambda df, *a: seen.append(df._jdf.queryExecution().optimizedPlan().toString()) or encode(df, *a))
+    first = sorted(map(tuple, token_counts.token_counts(odd_docs, path).collect()), key=str)
+    assert len(seen) == 1
+    assert sorted(map(tuple, token_counts.token_counts(odd_docs, path).collect()), key=str) == first
+    assert len(seen) == 1
+    monkeypatch.setattr(token_counts, "FEW", 0)
+    more = odd_docs.union(spark.createDataFrame([(9, "a newer text", "", "", 0, 0.0, "")] * 2, odd_docs.schema))
+    assert token_counts.token_counts(more, path).count() == 11
+    assert len(seen) == 2 and spark.read.parquet(path).count() == 7
+
+
+@pytest.mark.parametrize("n", [1999, 2000, 2001])
+def test_long_runs_count_alike(counter, n):
+    values = ["x" * n, " " * n + "b", "a" + "1" * n + "é", ("ab" * n)[:n] + " c"]
+    assert counter.counts(values) == [len(x) for x in library_ids("byte_bpe_50k.json", values)]
+
+
 def test_counts_of_nothing(spark, no_docs):
     assert token_counts.token_counts(no_docs, fresh_path(spark, "cache")).count() == 0
 
