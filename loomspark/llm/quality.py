@@ -227,7 +227,12 @@ def quality(docs: DataFrame, labels: DataFrame, parts: int = 4, held_out: int =
 
 
 def keep(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` of good quality, with the columns they had."""
+    """The rows of ``docs`` of good quality, with the columns they had, whatever their names.
+
+    Null and empty texts are scored as one empty chunk and stay or go alike;
+    repeated rows stay or go together; very long texts are scored whole; an
+    empty table gives no rows.
+    """
     name = free_name(docs, "quality")
     return scored(docs, learn(docs, labels, 4, 2), name).where(F.col(name) >= THRESHOLD).drop(name)
 

@@ -6,8 +6,8 @@ become the letters they imitate, anything else becomes a space. Accents stay,
 for they tell words of other languages apart; the seed words are looked for
 once more without them. Terms are whole words or word beginnings. Each term
 has a weight; hits inside an exception phrase don't count. The largest weight,
-the sum of weights over a power of the document's length, and the number of
-hits give the score.
+the sum of weights and the number of hits, both over a power of the document's
+length, give the score.
 
 Weights come from labelled documents: the smoothed log-odds of a term's
 document frequency. Beside the words themselves, word beginnings are terms, so
@@ -34,8 +34,8 @@ from loomspark.llm.common import bounded_batches, entering, fold, free_name, lab
 
 #: Bound of the training sample: labelled documents of each class.
 PER_CLASS = 3000
-#: A term's least number of different words before it in toxic documents, its least log-odds, and how many terms are kept.
-LEAST_SEEN, LEAST_ODDS, TERMS = 4, 2.0, 6000
+#: A term's least number of different words before it in toxic documents, and its least log-odds.
+LEAST_SEEN, LEAST_ODDS = 4, 2.0
 PREFIXES = (4, 5, 6)
 THRESHOLD = 0.5
 #: The length normalisation: the sum of weights is divided by words to this power.
@@ -47,7 +47,7 @@ LOOKALIKES = {a: b for a, b in (
     "αa οo εe ρp τt υu νv ιi κk χx γy βb ωw ıi ƒf ɡg "
     "0o 1i 3e 4a 5s 7t 8b"
 ).split()}
-#: Symbols that stand for a letter only between letters.
+#: Symbols that stand for a letter only beside one.
 SYMBOLS = {"@": "a", "$": "s"}
 #: Words that stand in the lexicon before anything is learned, and phrases in which such a word is harmless.
 SEEDS = ("idiot", "moron", "stupid", "loser", "scum", "trash", "worthless", "pathetic", "disgusting", "clown")
@@ -73,12 +73,17 @@ class Folding(dict):
 
 FOLDING, BARE = Folding(True), Folding(False)
 BETWEEN = re.compile(r"(?<=[^\W\d_])[@$](?=[^\W\d_])")
+BESIDE = re.compile(r"(?<=[^\W\d_])[@$]|[@$](?=[^\W\d_])")
 
 
-def skeleton(text: str, folding: Folding = FOLDING) -> str:
-    """Folded words between single spaces, with a space at either end. 'l', '1' and 'i' are one letter."""
+def skeleton(text: str, folding: Folding = FOLDING, symbols: re.Pattern = BETWEEN) -> str:
+    """Folded words between single spaces, with a space at either end. 'l', '1' and 'i' are one letter.
+
+    ``symbols``: which signs are letters; those between letters, or those that
+    have one on either side, where others take them for marks.
+    """
     if "@" in text or "$" in text:
-        text = BETWEEN.sub(lambda m: SYMBOLS[m[0]], text)
+        text = symbols.sub(lambda m: SYMBOLS[m[0]], text)
     return " " + " ".join(text.translate(folding).split()) + " "
 
 
@@ -121,6 +126,8 @@ class Lexicon:
         folded = skeleton(text)
         found: dict[int, float] = {}
         views = [(self._automata[0], folded)]
+        if BESIDE.search(text) and (other := skeleton(text, FOLDING, BESIDE)) != folded:
+            views.append((self._automata[0], other))
         if not text.isascii():
             views.append((self._automata[1], skeleton(text, BARE)))
         for view, (a, s) in enumerate(views):
@@ -134,7 +141,7 @@ class Lexicon:
                     here[begin] = end, weight
             for begin, (end, weight) in here.items():
                 if not any(x <= begin and end <= y for x, y in excused):
-                    # Words keep their number but not their place without accents.
+                    # Words keep their number, or nearly so, but not their place from view to view.
                     word = s.count(" ", 0, begin + 1) if view or len(views) > 1 else begin
                     found[word] = max(found.get(word, 0.0), weight)
         return found, folded.count(" ") - 1
@@ -143,7 +150,8 @@ class Lexicon:
         found, words = self.hits(text)
         if not found:
             return 0.0, 0.0, 0.0
-        return max(found.values()), sum(found.values()) / max(1, words) ** LENGTH_POWER, float(len(found))
+        length = max(1, words) ** LENGTH_POWER
+        return max(found.values()), sum(found.values()) / length, len(found) / length
 
     def score(self, values: list[str]) -> np.ndarray:
         x = np.array([self.features(t) for t in values], float).reshape(-1, 3)
@@ -161,9 +169,10 @@ def terms_of(text: str) -> set[tuple[str, str]]:
 def learn(docs: DataFrame, labels: DataFrame, parts: int, held_out: int, per_class: int = PER_CLASS) -> Lexicon:
     """A lexicon from at most ``per_class`` labelled documents a class; folds equal to ``held_out`` aren't looked at.
 
-    Terms are counted by Spark. The driver gets the best TERMS of them and
-    three numbers for each sampled document: bounded by the sample. Without
-    labels of both classes the seeds alone make the lexicon.
+    Terms are counted by Spark. The driver gets all that reach LEAST_SEEN and
+    LEAST_ODDS, and three numbers for each sampled document: bounded by the
+    words of the sample. Without labels of both classes the seeds alone make
+    the lexicon.
     """
     picked, counts = labelled_sample(docs, labels, "toxic", parts, held_out, per_class)
     picked = written(picked, "toxic-sample")
@@ -182,7 +191,7 @@ def learn(docs: DataFrame, labels: DataFrame, parts: int, held_out: int, per_cla
     counted = seen.groupBy("term").agg(F.sum("label").alias("bad"), F.sum(1 - F.col("label")).alias("good"))
     odds = F.log((F.col("bad") + 0.5) / (sizes[1] + 1.0)) - F.log((F.col("good") + 0.5) / (sizes[0] + 1.0))
     best = counted.where(F.col("bad") >= LEAST_SEEN).withColumn("odds", odds).where(F.col("odds") >= LEAST_ODDS)
-    rows = best.orderBy(F.desc("odds"), "term").limit(TERMS).collect()
+    rows = best.collect()
     lexicon = Lexicon(folded_seeds() | {r["term"]: float(r["odds"]) for r in rows})
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -239,7 +248,11 @@ def toxicity(docs: DataFrame, labels: DataFrame, parts: int = 5, held_out: int =
 
 
 def keep(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that aren't toxic, with the columns they had."""
+    """The rows of ``docs`` that aren't toxic, with the columns they had, whatever their names.
+
+    Null and empty texts have no hits and stay; repeated rows stay or go
+    together; very long texts are matched whole; an empty table gives no rows.
+    """
     lexicon = learn(docs, labels, 5, 0)
     name = free_name(docs, "toxicity")
     return scored(docs, lexicon, name).where(F.col(name) < THRESHOLD).drop(name)

@@ -34,8 +34,8 @@ def test_folding_and_exceptions():
     lexicon = toxicity.Lexicon(toxicity.folded_seeds())
     bad = ["you IDIOT", "1d10t!", "ｉｄｉｏｔ", "іdіоt", "what a $cum", "a m0r0n...", "&&&idiot&&&", "ìdïot", "stup1d"]
     good = ["", "idiotic", "clown fish swim", "the trash can", "2024 5555", "scumble", "lose"]
-    assert all(lexicon.hits(t)[0] for t in bad if t != "what a $cum") and not any(lexicon.hits(t)[0] for t in good)
-    assert lexicon.hits("a s$um sc@m")[0] == {} and lexicon.hits("tr@sh")[0]
+    assert all(lexicon.hits(t)[0] for t in bad) and not any(lexicon.hits(t)[0] for t in good)
+    assert lexicon.hits("a s$um sc@m, 5$ for us@ $5")[0] == {} and all(lexicon.hits(t)[0] for t in ("tr@sh", "@idiot", "$tupid", "pay $5, $cum"))
     assert len(lexicon.hits("idiot, the trash can, idiot")[0]) == 2
     a, b = lexicon.features("idiot " + "word " * 5), lexicon.features("idiot " + "word " * 5000)
     assert a[1] > b[1] and a[0] == b[0]
