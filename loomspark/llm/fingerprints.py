@@ -68,10 +68,10 @@ def likeness(a: Column, b: Column) -> tuple[Column, Column]:
 
 
 def as_text(sketch: Column) -> Column:
-    """The bound, or ``all`` where there is none, and the first 14 hex digits of every hash."""
+    """The bound, or ``all`` where there is none, and every hash, in hex: what it takes to merge and compare sketches."""
     digits = lambda h: F.lower(F.lpad(F.hex(h), 16, "0"))
     bound = F.when(sketch["bound"] == NO_BOUND, F.lit("all")).otherwise(digits(sketch["bound"]))
-    return F.concat(bound, F.lit(":"), F.array_join(F.transform(sketch["hashes"], lambda h: F.substring(digits(h), 1, 14)), ","))
+    return F.concat(bound, F.lit(":"), F.array_join(F.transform(sketch["hashes"], digits), ","))
 
 
 def with_next(docs: DataFrame) -> DataFrame:
