@@ -95,6 +95,8 @@ class Packer:
     """Places pieces (row, start, length) of examples; ``emit`` gets (row, start, length, sequence, offset)."""
 
     def __init__(self, max_tokens: int, max_segments: int, max_loss: int):
+        if max_tokens < 1 or max_segments < 1 or max_loss < 1:
+            raise ValueError("each limit of a sequence must be 1 at least")
         self.limits = np.array([max_tokens, max_segments, max_loss], float)
         self.sequence = -1
         self._open()
@@ -158,7 +160,9 @@ def pack(
     example (null or absent: all bear loss). Null and empty texts are the end
     id alone. Repeated ids and rows are packed each on its own; a null id stays
     null. A text longer than a sequence spans as many as it needs. An empty
-    table gives no rows. Other columns are ignored.
+    table gives no rows. Other columns are ignored. Sequences are numbered
+    task by task, so their numbers depend on how the rows are partitioned. A
+    limit below 1 is an error.
     """
     spark = examples.sparkSession
     bounded_batches(spark)
@@ -167,6 +171,7 @@ def pack(
     bears = F.lit(0).cast("long") if loss_start_col is None else F.coalesce(F.col(loss_start_col).cast("long"), F.lit(0).cast("long"))
     rows = examples.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), bears.alias("bears"))
     most_loss = max_tokens if max_loss_tokens is None else max_loss_tokens
+    Packer(max_tokens, max_segments, most_loss)  # tells of a limit that can't be met before anything runs
     kind = rows.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, loss_tokens long, sequence_id long, offset long"
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "loss_tokens", "sequence_id", "offset"]

@@ -147,6 +147,12 @@ def test_packing_of_odd_rows(odd_docs, no_docs):
     assert packing.pack(no_docs, packing.public_encoder()).count() == 0
 
 
+@pytest.mark.parametrize("limits", [(0, 4, 4), (16, 0, 16), (16, 4, 0), (-1, 4, 4)])
+def test_impossible_limits_are_errors(limits):
+    with pytest.raises(ValueError):
+        packing.Packer(*limits)
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.tuples(st.integers(1, 90), st.integers(0, 100)), max_size=40))
 def test_packer_keeps_all_limits(items):
