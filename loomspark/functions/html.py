@@ -175,6 +175,11 @@ def page(content: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["title", "description", "people", "topics", "full_text"])
 
 
+@F.pandas_udf(T.StringType())
+def page_title(content: pd.Series) -> pd.Series:
+    return pd.Series([title(parse(decoded(raw))) for raw in content], dtype=object)
+
+
 @F.pandas_udf(_LIST)
 def page_links(content: pd.Series) -> pd.Series:
     return pd.Series([links(parse(decoded(raw))) for raw in content], dtype=object)

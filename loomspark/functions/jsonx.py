@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Mapping
 
 import pandas as pd
@@ -36,10 +37,18 @@ def route(folder: Column, text: Column, routes: Mapping[str, tuple[str, ...]] =
 
 
 def schema_text(kind: str) -> str:
+    """The fields of a kind of record, for a request."""
+    if kind == FLAT:
+        return json.dumps({name: "list of texts" for name in FLAT_FIELDS}, indent=2)
     return json.dumps({f.name: {"str": "text", "int": "whole number or null", "list": "list of texts"}[f.type] for f in schemas.KINDS[kind]}, indent=2)
 
 
+#: The flat record that is asked for with the whole text: four lists, and what belongs to each.
+FLAT = "Flat"
+FLAT_FIELDS = ("speakers", "organizations", "themes", "keywords")
 RULES = {
+    FLAT: "Under speakers name every person who speaks, moderates or gives a statement, without titles and placeholders; under organizations "
+    "every company, institution, government or group; under themes one to three main subjects; under keywords the terms of the field, no everyday words.",
     "Networking": "Note how people were brought together, what they hoped for and what came of it.",
     "DayZero": "Note what the session prepares, who moderates and reports, and every goal it names.",
     "LightningTalk": "List each short talk by topic, count the talks, and sum up what was learned over all.",
@@ -48,10 +57,40 @@ RULES = {
 }
 
 
-def prompt(kind: Column, text: Column, attempt: int = 0) -> Column:
+def head(kind: str) -> str:
+    return f"Answer with one JSON object of these fields and nothing else.\n{schema_text(kind)}\n{RULES[kind]}\nText:\n"
+
+
+def limit(kind: str, attempt: int) -> int | None:
+    """Characters of a text that an attempt sends; the flat record's request sends all."""
+    return None if kind == FLAT else ATTEMPT_CHARS[min(attempt, len(ATTEMPT_CHARS) - 1)]
+
+
+def request(kind: str, text: str, attempt: int = 0) -> str:
     """The request for a page: the record's fields, the kind's rule and the text up to the attempt's limit."""
-    head = F.coalesce(*(F.when(kind == k, F.lit(f"Answer with one JSON object of these fields and nothing else.\n{schema_text(k)}\n{RULES[k]}\nText:\n")) for k in schemas.KINDS))
-    return F.concat(head, F.substring(text, 1, ATTEMPT_CHARS[min(attempt, len(ATTEMPT_CHARS) - 1)]))
+    return head(kind) + text[: limit(kind, attempt)]
+
+
+def prompt(kind: Column, text: Column, attempt: int = 0) -> Column:
+    """``request`` as a Column; null for a kind that isn't known."""
+    cut = lambda k: text if limit(k, attempt) is None else F.substring(text, 1, limit(k, attempt))
+    return F.coalesce(*(F.when(kind == k, F.concat(F.lit(head(k)), cut(k))) for k in RULES))
+
+
+def found_in(reply: str | None) -> object:
+    """What Python's own reader finds in a reply: the whole, or from its first '{' to its last '}'; ValueError if neither is JSON."""
+    whole = (reply or "").strip()
+    if not whole:
+        raise ValueError("empty reply")
+    if whole.startswith("```"):
+        whole = re.sub(r"\s*```\Z", "", re.sub(r"\A```(?:json)?\s*", "", whole, flags=re.IGNORECASE)).strip()
+    try:
+        return json.loads(whole)
+    except ValueError:
+        part = re.search(r"\{.*\}", whole, re.DOTALL)
+        if part is None:
+            raise ValueError("no JSON in the reply") from None
+        return json.loads(part[0])
 
 
 def unfenced(reply: Column) -> Column:

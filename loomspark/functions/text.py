@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 #: White space as Python's ``str`` has it; Java's class leaves out four control characters even with Unicode classes on.
 SPACE = r"(?U)[\s\x1c-\x1f]"
+GAP = r"[\s\x1c-\x1f]"
 LISTS = "cast(array() as array<string>)"
 
 
@@ -75,11 +76,15 @@ def page_name(url: Column) -> Column:
     return F.concat(file_name(named), F.lit(".html"))
 
 
+#: Fixed value: how links to a year's sessions begin.
+SESSION_LINK = "igf-"
+
+
 def link_wanted(href: Column, year: Column | None = None, marks: tuple[str, ...] = ("workshop",)) -> Column:
     """Whether a link names the year's sessions or holds one of the marks, in any case."""
     low = F.lower(href)
     wanted = low.rlike("|".join(f"\\Q{m}\\E" for m in marks))
-    return wanted if year is None else wanted | low.contains(F.concat(F.lit("igf-"), year, F.lit("-")))
+    return wanted if year is None else wanted | low.contains(F.concat(F.lit(SESSION_LINK), year, F.lit("-")))
 
 
 def titled(c: Column) -> Column:
@@ -89,17 +94,21 @@ def titled(c: Column) -> Column:
     return F.array_join(F.transform(letters, lambda x, i: F.when((i == 0) | ~before(i).rlike(r"\p{L}"), F.upper(x)).otherwise(x)), "")
 
 
+#: Kinds of sessions that a file's name may tell, and how folders of crawls are named.
+NAME_KINDS = ("workshop", "networking", "lightning", "launch", "award", "forum")
+FOLDER, CRAWL_FOLDER = r"^data_([a-zA-Z0-9\-]+)-(\d{4})_", r"igf_raw_data_(\d{4})"
+
+
 def name_metadata(name: Column, kinds: tuple[str, ...]) -> Column:
     """(year, session_type) from a file name alone."""
     kind = F.coalesce(*(F.when(F.lower(name).contains(k), titled(F.lit(k))) for k in kinds), F.lit("Unknown"))
     return F.struct(F.coalesce(year_in(name), F.lit("Unknown")).alias("year"), kind.alias("session_type"))
 
 
-def folder_metadata(folder: Column, name: Column, kinds: tuple[str, ...] = ("workshop", "networking", "lightning", "launch", "award", "forum")) -> Column:
+def folder_metadata(folder: Column, name: Column, kinds: tuple[str, ...] = NAME_KINDS) -> Column:
     """(year, session_type, year_source): from the folder; failing that, its crawl year; failing that, the file's name."""
-    pattern = r"^data_([a-zA-Z0-9\-]+)-(\d{4})_"
-    kind, year = F.regexp_extract(folder, pattern, 1), F.regexp_extract(folder, pattern, 2)
-    crawled = F.regexp_extract(folder, r"igf_raw_data_(\d{4})", 1)
+    kind, year = F.regexp_extract(folder, FOLDER, 1), F.regexp_extract(folder, FOLDER, 2)
+    crawled = F.regexp_extract(folder, CRAWL_FOLDER, 1)
     own = name_metadata(name, kinds)
     both = lambda y, k, s: F.struct(y.alias("year"), k.alias("session_type"), F.lit(s).alias("year_source"))
     return (
@@ -112,7 +121,7 @@ def folder_metadata(folder: Column, name: Column, kinds: tuple[str, ...] = ("wor
 def valid_name(c: Column) -> Column:
     """Whether a string may be a person's name: letters, 3 to 80 characters, no label, placeholder or address."""
     labels = ("speakers", "speaker", "moderator", "moderators", "panelists", "panellists", "organizers", "organisers", "tba", "tbc", "n/a")
-    return F.length(c).between(3, 80) & c.rlike(r"\p{L}") & ~F.lower(c).isin(*labels) & ~c.rlike(r"(?i)^speaker\s*\d+$|https?://|@")
+    return F.length(c).between(3, 80) & c.rlike(r"\p{L}") & ~F.lower(c).isin(*labels) & ~c.rlike(rf"(?iuU)^speaker{GAP}*\d+$|https?://|@")
 
 
 def _without_colon(c: Column) -> Column:
@@ -128,25 +137,25 @@ def long_enough(c: Column) -> Column:
     return F.length(c) > 2
 
 
-#: Headings that introduce a field in running text.
+#: Headings that introduce a field in running text. White space is Unicode's, and GAP is what it is.
 SPEAKER_HEADS = (
-    r"(?iu)(?:Speakers|Panellists|Panelists|Moderators|Speakers/Panellists|Organizers|Organisers|Speaker\(s\))\s*[:\-]\s*([^\n\r]+)",
-    r"(?iu)(?:Speakers|Panellists|Panelists)\s*\n\s*([^\n\r]+)",
+    rf"(?iuU)(?:Speakers|Panellists|Panelists|Moderators|Speakers/Panellists|Organizers|Organisers|Speaker\(s\)){GAP}*[:\-]{GAP}*([^\n\r]+)",
+    rf"(?iuU)(?:Speakers|Panellists|Panelists){GAP}*\n{GAP}*([^\n\r]+)",
 )
 THEME_HEADS = (
-    r"(?iu)(?:Theme|Sub-theme|Subtheme|Main Theme|Tags|Category)\s*[:\-]\s*([^\n\r]+)",
-    r"(?iu)(?:Theme|Subtheme)\s*\n\s*([^\n\r]+)",
+    rf"(?iuU)(?:Theme|Sub-theme|Subtheme|Main Theme|Tags|Category){GAP}*[:\-]{GAP}*([^\n\r]+)",
+    rf"(?iuU)(?:Theme|Subtheme){GAP}*\n{GAP}*([^\n\r]+)",
 )
 
 
 def _after(text: Column, pattern: str) -> Column:
-    return F.regexp_replace(trim(F.regexp_extract(text, pattern, 1)), "<(.*?)>", "")
+    return F.regexp_replace(trim(F.regexp_extract(text, pattern, 1)), "(?d)<(.*?)>", "")
 
 
 def speakers_in(text: Column) -> Column:
     """Names after a heading, as one cell; the first heading with a valid name counts."""
     def names(p: str) -> Column:
-        return F.filter(F.transform(F.split(_after(text, p), r"[,;]|\band\b"), _without_colon), valid_name)
+        return F.filter(F.transform(F.split(_after(text, p), r"(?U)[,;]|\band\b"), _without_colon), valid_name)
 
     found = [F.when(F.size(names(p)) > 0, F.array_join(names(p), " | ")) for p in SPEAKER_HEADS]
     return F.coalesce(*found, F.lit("N/A"))
@@ -169,12 +178,14 @@ SECTIONS = {
     "report": r"(?s)\nReport\n(.*)",
     "session_report": r"(?s)\nSession Report.*?\n(.*)",
 }
+#: A page's greeting, with any letters, bars and white space up to a line's end, and its footers.
+GREETING = rf"^(?iuU)(?:Welcome to the United Nations|Skip to main content)(?:{GAP}|[|A-Za-z])*\n"
 FOOTERS = ("UNITED NATIONS\nContact information", "Secretariat of the Internet Governance Forum")
 
 
 def without_boilerplate(text: Column) -> Column:
     """Text less its greeting and what follows the footer; the first footer counts wherever the second stands."""
-    text = F.regexp_replace(text, r"^(?iu:Welcome to the United Nations|Skip to main content)[\s\x1c-\x1f|A-Za-z]*\n", "")
+    text = F.regexp_replace(text, GREETING, "")
     return F.when(text.contains(FOOTERS[0]), F.substring_index(text, FOOTERS[0], 1)).otherwise(F.substring_index(text, FOOTERS[1], 1))
 
 

@@ -55,23 +55,22 @@ def top_lines(top: DataFrame, label: str) -> DataFrame:
     return top.groupBy("Year").agg(F.array_join(F.transform(F.array_sort(F.collect_list(part)), lambda x: x["text"]), "  |  ").alias("line"))
 
 
-def all_years(df: DataFrame) -> DataFrame:
-    """Every year from the first to the last of all dated rows, also those without sessions."""
-    return df.agg(F.min("Year").alias("lo"), F.max("Year").alias("hi")).where("lo is not null").select(F.explode(F.sequence("lo", "hi")).alias("Year"))
-
-
 def matrix(df: DataFrame, column: str, label: str, k: int) -> DataFrame:
-    """(label, Year, Frequency) for the k most frequent labels of dated rows and every year, zeros included."""
+    """(label, Year, Frequency) for the k most frequent labels of dated rows and every year, zeros included.
+
+    Rows are counted once, by label and year; the ranking sums those counts and
+    shares their shuffle.
+    """
     dated = df.where("Year is not null")
-    items = exploded(dated, {column: label}, "Year")
-    top = top_k(value_counts(items, label), k, label).select(label)
-    counts = value_counts(items.join(top, label, "left_semi"), label, "Year")
-    return dense(counts, top, all_years(dated), label)
+    counts = value_counts(exploded(dated, {column: label}, "Year"), label, "Year")
+    top = top_k(counts.groupBy(label).agg(F.sum("Frequency").alias("Frequency")), k, label).select(label)
+    return dense(counts.join(top, label, "left_semi"), top, dated, label)
 
 
-def dense(counts: DataFrame, labels: DataFrame, years: DataFrame, *keys: str) -> DataFrame:
-    """``counts`` with a zero for every key of ``labels`` and year that it lacks; a grid of K labels by the years."""
-    grid = labels.withColumn("one", F.lit(1)).join(years.withColumn("one", F.lit(1)), "one").drop("one")
+def dense(counts: DataFrame, labels: DataFrame, dated: DataFrame, *keys: str) -> DataFrame:
+    """``counts`` with a zero for every key of ``labels`` and every year from the first to the last of ``dated``; K labels by the years."""
+    first, last = (dated.agg(f("Year").alias("y")).scalar() for f in (F.min, F.max))
+    grid = labels.select(*keys, F.explode(F.when(first.isNotNull(), F.sequence(first, last))).alias("Year"))
     return grid.join(counts, [*keys, "Year"], "left").withColumn("Frequency", F.coalesce("Frequency", F.lit(0)).cast("long"))
 
 
@@ -81,39 +80,45 @@ def pivoted(long: DataFrame, row: str, column: str, values: list, count: str = "
 
 
 def topic_shifts(df: DataFrame, owner: str, owners: int, topic: str, topics: int) -> DataFrame:
-    """(owner, topic, Year, Frequency): per leading owner its leading topics by year, ranked over pairs."""
+    """(owner, topic, Year, Frequency): per leading owner its leading topics by year, ranked over pairs, which are counted once."""
     dated = df.where("Year is not null")
-    pairs = exploded(dated, {f"{owner}s": owner, f"{topic}s": topic}, "Year")
-    top = top_k(value_counts(pairs, owner), owners, owner).select(owner)
-    per = value_counts(pairs.join(top, owner, "left_semi"), owner, topic, "Year")
-    total = per.groupBy(owner, topic).agg(F.sum("Frequency").alias("total"))
+    per = value_counts(exploded(dated, {f"{owner}s": owner, f"{topic}s": topic}, "Year"), owner, topic, "Year")
+    top = top_k(per.groupBy(owner).agg(F.sum("Frequency").alias("Frequency")), owners, owner).select(owner)
+    led = per.join(top, owner, "left_semi")
+    total = led.groupBy(owner, topic).agg(F.sum("Frequency").alias("total"))
     chosen = ranked(total, [owner], "total", [topic], topics).select(owner, topic)
-    return dense(per, chosen, all_years(dated), owner, topic)
+    return dense(led, chosen, dated, owner, topic)
 
 
 def primary_by_year(df: DataFrame, who: str, leaders: int, what: str) -> DataFrame:
-    """(Year, who, what, Session_Count): the most frequent partner by year of the leaders over pairs."""
-    pairs = exploded(df.where("Year is not null"), {f"{who}s": who, f"{what}s": what}, "Year")
-    top = top_k(value_counts(pairs, who), leaders, who).select(who)
-    counts = value_counts(pairs.join(top, who, "left_semi"), "Year", who, what, name="Session_Count")
-    return ranked(counts, ["Year", who], "Session_Count", [what], 1).drop("Rank")
+    """(Year, who, what, Session_Count): the most frequent partner by year of the leaders over pairs, which are counted once."""
+    per = value_counts(exploded(df.where("Year is not null"), {f"{who}s": who, f"{what}s": what}, "Year"), "Year", who, what, name="Session_Count")
+    top = top_k(per.groupBy(who).agg(F.sum("Session_Count").alias("Frequency")), leaders, who).select(who)
+    return ranked(per.join(top, who, "left_semi"), ["Year", who], "Session_Count", [what], 1).drop("Rank")
 
 
 def with_top_partner(df: DataFrame, who: str, what: str, out: str, none: str = "(Unknown)") -> DataFrame:
-    """(who, Frequency, out): mentions of each and the partner it is mentioned with most."""
-    counts = value_counts(exploded(df, {f"{who}s": who}), who)
-    pairs = value_counts(exploded(df, {f"{who}s": who, f"{what}s": what}), who, what, name="n")
-    best = ranked(pairs, [who], "n", [what], 1).select(who, F.col(what).alias(out))
-    return counts.join(best, who, "left").withColumn(out, F.coalesce(out, F.lit(none)))
+    """(who, Frequency, out): mentions of each and the partner it is mentioned with most.
+
+    Each mention gives a row for itself, with a null partner, and one for each
+    partner, so that one count serves both.
+    """
+    names = df.select(F.explode(f"{who}s").alias(who), f"{what}s").where(F.col(who) != "")
+    partners = F.concat(F.array(F.lit(None).cast("string")), F.filter(F.coalesce(f"{what}s", F.expr("cast(array() as array<string>)")), lambda x: x != ""))
+    counts = names.select(who, F.explode(partners).alias(what)).groupBy(who, what).agg(F.count("*").alias("n"))
+    order = Window.partitionBy(who).orderBy(F.col(what).isNotNull(), F.desc("n"), what)
+    # First the mentions, then the leading partner: two rows of each name at most, side by side.
+    two = counts.withColumn("place", F.row_number().over(order)).where("place <= 2")
+    found = two.groupBy(who).agg(F.max(F.when(F.col("place") == 1, F.col("n"))).alias("Frequency"), F.max(F.when(F.col("place") == 2, F.col(what))).alias(out))
+    return found.withColumn(out, F.coalesce(out, F.lit(none)))
 
 
 def shares(df: DataFrame, column: str, least: float = 0.02, rest: str = "Others") -> DataFrame:
     """(column, Frequency): labels with more than ``least`` of all, the others under ``rest`` with any label of that name."""
     counts = value_counts(df, column)
-    total = counts.agg(F.sum("Frequency").alias("total"))
-    tagged = counts.withColumn("one", F.lit(1)).join(total.withColumn("one", F.lit(1)), "one")
-    label = F.when(F.col("Frequency") > least * F.col("total"), F.col(column)).otherwise(F.lit(rest))
-    return tagged.groupBy(label.alias(column)).agg(F.sum("Frequency").alias("Frequency"))
+    total = counts.agg(F.sum("Frequency").alias("total")).scalar()
+    label = F.when(F.col("Frequency") > least * total, F.col(column)).otherwise(F.lit(rest))
+    return counts.select(label.alias(column), "Frequency").groupBy(column).agg(F.sum("Frequency").alias("Frequency"))
 
 
 def yearly(df: DataFrame) -> DataFrame:

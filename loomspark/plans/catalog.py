@@ -7,10 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspark.functions import html, jsonx, text
+from loomspark.functions import html, jsonx, schemas, text
 from loomspark.operators import clean, frequency as fq, incremental as inc
 from loomspark.plans import extraction
+from loomspark.sources import boundary, files, sinks
+from loomspark.sources.shared import fresh_path
 from loomspark.sources.testdata import sessions, table
+from loomspark.streaming import resume
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -128,15 +131,17 @@ def theme_year_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fq.matrix(listed(spark, sf_dir), "Themes", "Theme", 6)
 
 
+KINDS = {"1-URGENT": "urgent", "2-HIGH": "high", "3-MEDIUM": "medium", "4-NOT SPECIFIED": "unspecified", "5-LOW": "low"}
+
+
 @query(
     "session_type_pivot",
-    """SELECT CAST(year(o_orderdate) AS INTEGER) AS "Year", count(*) FILTER (o_orderpriority = '1-URGENT') AS urgent, count(*) FILTER (o_orderpriority = '2-HIGH') AS high,
-count(*) FILTER (o_orderpriority = '5-LOW') AS low FROM orders GROUP BY 1""",
+    'SELECT CAST(year(o_orderdate) AS INTEGER) AS "Year", ' + ", ".join(f"count(*) FILTER (o_orderpriority = '{k}') AS {n}" for k, n in KINDS.items()) + " FROM orders GROUP BY 1",
 )
 def session_type_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = fq.value_counts(sessions(spark, sf_dir).select("Year", "Session_Type"), "Year", "Session_Type")
-    wide = fq.pivoted(counts, "Year", "Session_Type", ["1-URGENT", "2-HIGH", "5-LOW"])
-    return wide.select("Year", F.col("1-URGENT").alias("urgent"), F.col("2-HIGH").alias("high"), F.col("5-LOW").alias("low"))
+    wide = fq.pivoted(counts, "Year", "Session_Type", list(KINDS))
+    return wide.select("Year", *(F.col(k).alias(n) for k, n in KINDS.items()))
 
 
 @query(
@@ -298,7 +303,7 @@ def url_year(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("page_titles", """SELECT page_id, replace(replace(replace(replace(replace(trim(regexp_extract(html, '<h1>(.*?)</h1>', 1)), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', ''''), '&amp;', '&') AS title FROM pages""")
 def page_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select("page_id", html.page("html")["title"].alias("title"))
+    return table(spark, sf_dir, "pages").select("page_id", html.page_title("html").alias("title"))
 
 
 @query(
@@ -309,9 +314,9 @@ SELECT page_id, CAST(min(pos) - 1 AS INTEGER) AS pos, href, CASE WHEN href LIKE
 )
 def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each page's distinct links in order of their first place, made absolute."""
-    found = table(spark, sf_dir, "pages").select("page_id", F.posexplode(html.page_links("html")).alias("pos", "href"))
-    first = found.groupBy("page_id", "href").agg(F.min("pos").alias("pos"))
-    return first.select("page_id", "pos", "href", text.absolute(F.col("href"), "https://site.example").alias("url"))
+    p = table(spark, sf_dir, "pages").select("page_id", html.page_links("html").alias("all"))
+    first = F.transform(F.array_distinct("all"), lambda x: F.struct((F.array_position("all", x) - 1).cast("int").alias("pos"), x.alias("href")))
+    return p.select("page_id", F.explode(first).alias("x")).select("page_id", "x.pos", "x.href", text.absolute(F.col("x.href"), "https://site.example").alias("url"))
 
 
 @query("selected_links", """SELECT page_id, contains(lower(url), 'igf-2021-') OR contains(lower(url), 'en/') AS wanted FROM pages""")
@@ -319,7 +324,17 @@ def selected_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", text.link_wanted(F.col("url"), F.lit("2021"), ("en/",)).alias("wanted"))
 
 
-@query("page_clean_text")
+def _clean_sql() -> str:
+    c = "regexp_replace(html, '(?s)<!--.*?-->', '', 'g')"
+    for tag in html.NOISE:
+        c = f"regexp_replace({c}, '(?is)<{tag}(\\s[^>]*)?>.*?</{tag}\\s*>', ' ', 'g')"
+    c = f"regexp_replace({c}, '<[^>]*>', ' ', 'g')"
+    for name, sign in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#x27;", "''"), ("&nbsp;", " "), ("&amp;", "&")):
+        c = f"replace({c}, '{name}', '{sign}')"
+    return f"trim(regexp_replace({c}, '[\\s\\x{{a0}}]+', ' ', 'g'))"
+
+
+@query("page_clean_text", f"SELECT page_id, {_clean_sql()} AS text FROM pages")
 def page_clean_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", html.page_text("html").alias("text"))
 
@@ -407,7 +422,11 @@ def section_parts(d: DataFrame) -> DataFrame:
     return s.withColumn("s", F.col("s").withField("description", _unescaped(F.col("s.description"))))
 
 
-@query("section_texts")
+#: White space at either end, as Python has it.
+_ENDS_SQL = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+
+
+@query("section_texts", f"SELECT doc_id, coalesce(nullif(regexp_replace(text, '^{_ENDS_SQL}|{_ENDS_SQL}$', '', 'g'), ''), 'N/A') AS description, 'Done ' || doc_id AS report FROM documents")
 def section_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole text under its heading, and what follows it."""
     return section_parts(table(spark, sf_dir, "documents")).select("doc_id", "s.description", "s.report")
@@ -451,11 +470,178 @@ def metadata_from_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'Jane Doe | John ' || lang ELSE 'N/A' END AS speakers, CASE doc_id % 3 WHEN 2 THEN 'Open access ' || source ELSE 'N/A' END AS theme FROM documents""",
 )
 def heading_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Speakers and themes after headings in running text; neither counts without a valid value."""
-    d = table(spark, sf_dir, "documents").select("doc_id", "lang", "source")
+    """Speakers and themes after headings in running text, here behind whole documents; neither counts without a valid value."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")
     body = (
-        F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("x\nSPEAKERS: <b>Jane Doe</b>, John "), "lang", F.lit(" and TBA; Speaker 1\ny")))
-        .when(F.col("doc_id") % 3 == 1, F.lit("Moderators - Speaker 2, @x\nTags: ab"))
-        .otherwise(F.concat(F.lit("Theme\n Open access "), "source", F.lit("\nend")))
+        F.when(F.col("doc_id") % 3 == 0, F.concat("text", F.lit("\nSPEAKERS: <b>Jane Doe</b>, John "), "lang", F.lit(" and TBA; Speaker 1\ny")))
+        .when(F.col("doc_id") % 3 == 1, F.concat("text", F.lit("\nModerators - Speaker 2, @x\nTags: ab")))
+        .otherwise(F.concat("text", F.lit("\nTheme\n Open access "), "source", F.lit("\nend")))
     )
     return d.select("doc_id", text.speakers_in(body).alias("speakers"), text.theme_in(body).alias("theme"))
+
+
+@query("unicode_spaces", "SELECT doc_id, 'Jane Doe | John ' || lang AS speakers, 'Open ' || source AS theme, '1. ' || text AS kept FROM documents")
+def unicode_spaces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Headings and a page's greeting whose white space isn't ASCII."""
+    d = table(spark, sf_dir, "documents")
+    body = F.concat("text", F.lit("\nSpeakers\u00a0:\u2003Jane Doe, John "), "lang", F.lit("\nTheme\u00a0\n\u3000Open "), "source", F.lit("\nend"))
+    page = F.concat(F.lit("Skip to main content\u00a0|\u2003Menu\n1. "), "text")
+    return d.select("doc_id", text.speakers_in(body).alias("speakers"), text.theme_in(body).alias("theme"), text.without_boilerplate(page).alias("kept"))
+
+
+@query(
+    "dom_records_by_class",
+    f"""WITH {SESSIONS} SELECT Source_File, 'Unknown' AS "Year", 'Unknown' AS Session_Type, Title, Themes, Speakers AS Speakers_Raw,
+'A paragraph that is long enough to count: ' || Title AS Description FROM sess""",
+)
+def dom_records_by_class(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole records from pages whose people and topics stand in elements of the known classes."""
+    s = listed(spark, sf_dir)
+    each = lambda c, a, b: F.array_join(F.transform(c, lambda x: F.concat(F.lit(a), x, F.lit(b))), "")
+    page = F.concat(
+        F.lit("<html><title>other | site</title><h1>not this</h1><h1 class='page-title'> "), "Title", F.lit("</h1><div class='x field-name-field-panelists-extra'>"), each("Speakers", "<a href='#'> ", " :</a>"),
+        F.lit("</div><ul class='field-name-field-tags'>"), each("Themes", "<li>", "</li>"), F.lit("<li>ab</li></ul><p>A paragraph that is long enough to count: "), "Title", F.lit("</p><p>short</p>"),
+    )
+    return extraction.dom_records(s.select(F.col("Source_File").alias("file"), page.alias("content")))
+
+
+def _marked(c: str, marks: tuple[str, ...]) -> str:
+    return f"CASE WHEN {c} IN ({', '.join(repr(m) for m in marks)}) THEN NULL ELSE {c} END AS {c}"
+
+
+_RAW = f"""{SESSIONS}, k AS (SELECT *, CAST(regexp_extract(Source_File, '(\\d+)', 1) AS BIGINT) AS key FROM sess),
+raw AS (SELECT Source_File, CASE WHEN key % 11 = 0 THEN 'Unknown' WHEN key % 7 = 0 THEN "Year" || '.0' ELSE CAST("Year" AS VARCHAR) END AS "Year", CASE WHEN key % 5 = 0 THEN 'Unknown' ELSE Session_Type END AS Session_Type,
+CASE WHEN key % 13 = 0 THEN 'N/A' ELSE Title END AS Title, CASE WHEN key % 17 = 0 THEN '' ELSE Themes END AS Themes, CASE WHEN key % 19 = 0 THEN '<null>' ELSE Speakers END AS Speakers_Raw, CAST(NULL AS VARCHAR) AS Description FROM k)"""
+
+
+def _scan_sql(marks: tuple[str, ...]) -> str:
+    return f"WITH {_RAW} SELECT " + ", ".join(_marked(c if c != "Year" else '"Year"', marks) for c in schemas.DOM_RECORD.fieldNames()) + " FROM raw"
+
+
+def _scanned(marks: tuple[str, ...]) -> Query:
+    def scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+        path = fresh_path(spark, "csv")
+        sinks.csv_table(raw_records(spark, sf_dir), path, "Source_File")
+        return files.csv_table(spark, path, schemas.DOM_RECORD, marks)
+
+    return scan
+
+
+for _name, _marks in (("csv_scan_default", schemas.DEFAULT_NA), ("csv_scan_cleaning", schemas.CLEANING_NA)):
+    query(_name, _scan_sql(_marks))(_scanned(_marks))
+
+
+@query("resume_names", f"WITH {SESSIONS} SELECT Source_File FROM sess WHERE \"Year\" % 2 = 1")
+def resume_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left after a run whose table holds the sessions of even years."""
+    path, s = fresh_path(spark, "csv"), sessions(spark, sf_dir).select("Source_File", "Year")
+    sinks.csv_table(s.where("Year % 2 = 0").select("Source_File", *(F.lit("x").alias(c) for c in schemas.DOM_RECORD.fieldNames()[1:])), path)
+    return inc.pending(s.select("Source_File"), files.processed_names(spark, path, schemas.DOM_RECORD), "Source_File")
+
+
+def _doc_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents")
+    result = F.to_json(F.struct("lang", "source"))
+    return d.select(F.concat_ws("::", F.lit("docs"), "doc_id").alias("fast_key"), inc.content_hash(F.col("text")).alias("hash"), F.col("doc_id").alias("seq"), result.alias("result"))
+
+
+@query("cache_scan", "SELECT 'docs::' || doc_id AS fast_key, sha256(text) AS hash, doc_id AS seq, lang, source FROM documents")
+def cache_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A cache that is written, read, added to and put in its own place."""
+    path, entries = fresh_path(spark, "cache"), _doc_entries(spark, sf_dir)
+    sinks.swap(entries.where("seq % 3 = 0"), path)
+    sinks.swap(files.cache(spark, path).unionByName(entries.where("seq % 3 <> 0")), path)
+    return files.cache(spark, path).select("fast_key", "hash", "seq", *(F.get_json_object("result", f"$.{c}").alias(c) for c in ("lang", "source")))
+
+
+@query("json_tables", f"WITH {SESSIONS} SELECT Source_File, CASE WHEN Themes = 'N/A' THEN '' ELSE replace(Themes, ' | ', ';') END AS themes, \"Year\" FROM sess")
+def json_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lists and numbers through a JSON table, stored in two steps as checkpoints are."""
+    path, held = fresh_path(spark, "json"), fresh_path(spark, "checkpoint")
+    s = listed(spark, sf_dir).select("Source_File", "Themes", "Year")
+    sinks.json_table(s, path)
+    read = spark.read.schema("Source_File string, Themes array<string>, Year int").json(path)
+    for half in (0, 1):
+        sinks.checkpoint(read.where(F.pmod(F.col("Year"), F.lit(2)) == half), held)
+    return spark.read.schema(read.schema).parquet(held).select("Source_File", F.array_join("Themes", ";").alias("themes"), "Year")
+
+
+def _stored_pages(spark: SparkSession, sf_dir: str) -> str:
+    root = fresh_path(spark, "site")
+    p = table(spark, sf_dir, "pages").select(F.concat(F.lit("page-"), "page_id", F.lit(".html")).alias("file"), F.col("html").alias("content"))
+    sinks.page_files(p, f"{root}/data_pages-2020_x")
+    return root
+
+
+@query("page_files_scan", "SELECT 'data_pages-2020_x' AS folder, 'page-' || page_id || '.html' AS file, sha256(html) AS hash, sha256(html) AS text_hash FROM pages")
+def page_files_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages written to files of their own and found again by folder and name."""
+    p = files.pages(spark, _stored_pages(spark, sf_dir))
+    return p.select("folder", "file", inc.content_hash(F.col("content")).alias("hash"), inc.content_hash(files.decoded("content")).alias("text_hash"))
+
+
+@query("stream_contents", "SELECT DISTINCT sha256(html) AS hash, octet_length(encode(html)) AS size FROM pages")
+def stream_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every content once, from a stream over the page files in batches of 20."""
+    root, out = _stored_pages(spark, sf_dir), fresh_path(spark, "stream")
+    process = lambda df: df.select("hash", "length")
+    resume.extract_stream(resume.page_stream(spark, root), process, out, fresh_path(spark, "stream-state")).awaitTermination()
+    return spark.read.schema("hash string, length long").parquet(out).select("hash", F.col("length").alias("size"))
+
+
+def _service(prompt: str) -> tuple[int, str]:
+    """Stands for a service: what it does follows from the number at the text's end."""
+    n = int(prompt.rsplit(" ", 1)[-1])
+    if n % 6 == 4:
+        raise KeyError(n)
+    body = f'{{"title": "T{n}", "year": " {n} ", "themes": "x", "other": 1}}'
+    return (500 if n % 6 == 2 else 200), {1: f"```JSON\n{body}\n```", 3: "no json", 5: "[1]"}.get(n % 6, body)
+
+
+@query(
+    "service_outcomes",
+    """SELECT event_id, CASE WHEN event_id % 6 < 2 THEN 'T' || event_id ELSE '' END AS title, CASE WHEN event_id % 6 < 2 THEN event_id END AS year, CASE WHEN event_id % 6 < 2 THEN 'x' ELSE '' END AS themes,
+'Global' AS regional_focus, CASE event_id % 6 WHEN 2 THEN 'status 500' WHEN 3 THEN 'failed after retries: ValueError' WHEN 4 THEN 'Critical: KeyError' WHEN 5 THEN 'Critical: AttributeError' END AS error,
+CASE WHEN event_id % 6 IN (2, 3) THEN 3 ELSE 1 END AS calls FROM events""",
+)
+def service_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records, errors and calls of a service that answers well, in fences, with a status, without JSON, with an exception and with an array."""
+    e = table(spark, sf_dir, "events").select(F.col("event_id").cast("string").alias("key"), F.lit("Base").alias("kind"), F.concat(F.lit("event "), "event_id").alias("text"))
+    path = fresh_path(spark, "replies")
+    boundary.extracted(e, _service, at_once=8, pause=0.0).write.parquet(path)
+    replies = spark.read.parquet(path)
+    r = boundary.records(replies).select(F.col("key").cast("long").alias("event_id"), "title", "year", F.array_join("themes", ";").alias("themes"), "regional_focus", "error")
+    return r.join(replies.select(F.col("key").cast("long").alias("event_id"), F.col("calls").cast("int").alias("calls")), "event_id")
+
+
+@query(
+    "run_report",
+    """WITH f AS (SELECT doc_id, sha256(text) AS h FROM documents), k AS (SELECT DISTINCT h, h < '2' AS bad FROM f WHERE doc_id % 2 = 0),
+a AS (SELECT DISTINCT h, substr(h, 2, 1) = '0' AS bad FROM f WHERE h NOT IN (SELECT h FROM k) AND h < 'e'),
+s AS (SELECT count(*) AS scanned, count(*) FILTER (k.h IS NOT NULL) AS cache_hits, count(*) FILTER (k.h IS NULL) AS processed, count(*) FILTER (NOT a.bad) AS new_succeeded, count(*) FILTER (a.bad) AS new_failed,
+  count(*) FILTER (NOT coalesce(k.bad, a.bad)) AS scan_succeeded, count(*) FILTER (coalesce(k.bad, a.bad)) AS scan_failed, count(*) FILTER (k.h IS NULL AND a.h IS NULL) AS scan_missing FROM f LEFT JOIN k ON f.h = k.h LEFT JOIN a ON f.h = a.h),
+u AS (SELECT count(*) AS total_records, count(*) FILTER (NOT bad) AS unique_succeeded, count(*) FILTER (bad) AS unique_failed FROM (FROM k UNION ALL FROM a))
+SELECT *, total_records + new_succeeded + new_failed AS total_records_raw, round(100.0 * new_succeeded / processed, 1)::DOUBLE AS new_rate, round(100.0 * scan_succeeded / scanned, 1)::DOUBLE AS scan_rate,
+round(100.0 * unique_succeeded / total_records, 1)::DOUBLE AS unique_rate FROM s, u""",
+)
+def run_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three scopes over documents: those of even ids were extracted before, those whose hash begins with e or f have no result."""
+    f = table(spark, sf_dir, "documents").select("doc_id", inc.content_hash(F.col("text")).alias("hash"))
+    known = f.where("doc_id % 2 = 0").select("hash", (F.col("hash") < "2").alias("failed")).distinct()
+    fresh = f.join(known, "hash", "left_anti").where("hash < 'e'")
+    return inc.run_report(f, known, fresh.select("hash", (F.substring("hash", 2, 1) == "0").alias("failed")).distinct())
+
+
+@query("prompt_texts", "SELECT doc_id, sha256(left(text, 3500)) AS first, sha256(left(text, 1800)) AS again, sha256(text) AS whole FROM documents")
+def prompt_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What of a text requests hold: the typed ones a part that is cut shorter after the first attempt, the flat one all."""
+    d = table(spark, sf_dir, "documents")
+    part = lambda kind, n: F.sha2(F.substring(jsonx.prompt(F.lit(kind), F.col("text"), n), len(jsonx.head(kind)) + 1, 2**31 - 1), 256)
+    return d.select("doc_id", part("DayZero", 0).alias("first"), part("Base", 2).alias("again"), part(jsonx.FLAT, 0).alias("whole"))
+
+
+@query("missing_columns", f"WITH {SESSIONS} SELECT Source_File, CASE WHEN Themes = 'N/A' THEN 0 ELSE len(string_split(Themes, ' | ')) END AS themes, 0::BIGINT AS keywords FROM sess")
+def missing_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lists of a column that is there and of one that isn't."""
+    s = extraction.with_lists(sessions(spark, sf_dir).drop("Keywords"), "Themes", "Keywords")
+    return s.select("Source_File", F.size("Themes_List").cast("long").alias("themes"), F.size("Keywords_List").cast("long").alias("keywords"))

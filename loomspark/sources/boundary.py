@@ -36,36 +36,41 @@ def fetched(urls: DataFrame, fetch: Callable[[str], str], at_once: int = 1, paus
     return urls.select("url", "file").repartition(at_once).mapInPandas(run, "url string, file string, content string, error string")
 
 
-def extracted(pages: DataFrame, service: Extractor, at_once: int = 1, attempts: int = 3, pause: float = 1.0) -> DataFrame:
-    """``pages`` (key, kind, text) with (reply, error, calls).
+#: What a service may raise that is worth another attempt; anything else ends a page's attempts at once.
+PASSING = (ValueError, TimeoutError, ConnectionError)
+
+
+def attempted(service: Extractor, kind: str, text: str, attempts: int, pause: float) -> tuple[str | None, str | None, int]:
+    """(reply, error, calls) of one page.
 
-    The text is cut shorter after the first attempt. A status other than 200
-    is tried again at once, a failed call or an answer without JSON after a
-    pause.
+    A status other than 200 is tried again at once; a call that passes out of
+    time or reach, and a reply without JSON, after a pause. Any other exception
+    is critical and ends the attempts.
     """
+    error = "no attempt"
+    for n in range(attempts):
+        try:
+            status, reply = service(jsonx.request(kind, text, n))
+            if status == 200:
+                jsonx.found_in(reply)
+                return reply, None, n + 1
+            error = f"status {status}"
+            continue
+        except PASSING as e:
+            error = f"failed after retries: {type(e).__name__}"
+        except Exception as e:  # whatever a service raises belongs to its page
+            return None, f"Critical: {type(e).__name__}", n + 1
+        if n + 1 < attempts:
+            time.sleep(pause)
+    return None, error, attempts
 
-    def ask(kind: str, text: str) -> tuple[str | None, str | None, int]:
-        error = "no attempt"
-        for n in range(attempts):
-            limit = jsonx.ATTEMPT_CHARS[min(n, len(jsonx.ATTEMPT_CHARS) - 1)]
-            head = f"Answer with one JSON object of these fields and nothing else.\n{jsonx.schema_text(kind)}\n{jsonx.RULES[kind]}\nText:\n"
-            try:
-                status, reply = service(head + text[:limit])
-                if status != 200:
-                    error = f"status {status}"
-                    continue
-                if reply and reply.strip():
-                    return reply, None, n + 1
-                error = "empty reply"
-            except Exception as e:
-                error = f"{type(e).__name__}: {e}"
-            if n + 1 < attempts:
-                time.sleep(pause)
-        return None, error, attempts
+
+def extracted(pages: DataFrame, service: Extractor, at_once: int = 1, attempts: int = 3, pause: float = 1.0) -> DataFrame:
+    """``pages`` (key, kind, text) with (reply, error, calls); the text is cut shorter after the first attempt."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out = [(k, kind, *ask(kind, t or "")) for k, kind, t in zip(b["key"], b["kind"], b["text"], strict=True)]
+            out = [(k, kind, *attempted(service, kind, t or "", attempts, pause)) for k, kind, t in zip(b["key"], b["kind"], b["text"], strict=True)]
             yield pd.DataFrame(out, columns=["key", "kind", "reply", "error", "calls"]).astype({"calls": "int64"})
 
     return pages.select("key", "kind", "text").repartition(at_once).mapInPandas(run, "key string, kind string, reply string, error string, calls long")

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from loomspark.functions.schemas import CACHE_ENTRY, DEFAULT_NA
 from loomspark.operators.clean import null_missing
+from loomspark.sources.sinks import ASIDE
 
 
 def csv_table(spark: SparkSession, path: str, schema: T.StructType, missing: tuple[str, ...] = DEFAULT_NA) -> DataFrame:
@@ -62,15 +63,31 @@ def decoded(content: pd.Series) -> pd.Series:
     return pd.Series([None if b is None else bytes(b).decode("utf-8", "ignore") for b in content], dtype=object)
 
 
-def cache(spark: SparkSession, path: str) -> DataFrame:
-    """(fast_key, hash, seq, result): the stored entries; none if there are none or they can't be read."""
-    empty = spark.createDataFrame([], CACHE_ENTRY)
-    if not exists(spark, path):
-        return empty
+def _cache_lines(spark: SparkSession, path: str) -> DataFrame | None:
+    """The stored lines, with ``bad`` for one that is no entry; None without a table. A table that was moved aside counts while no other is there."""
+    here = next((p for p in (path.rstrip("/"), path.rstrip("/") + ASIDE) if exists(spark, p)), None)
+    if here is None:
+        return None
     try:
-        return spark.read.schema(CACHE_ENTRY).json(path, mode="DROPMALFORMED")
+        return spark.read.schema(f"{CACHE_ENTRY}, bad string").json(here, mode="PERMISSIVE", columnNameOfCorruptRecord="bad")
     except AnalysisException:
-        return empty
+        return None
+
+
+def cache(spark: SparkSession, path: str) -> DataFrame:
+    """(fast_key, hash, seq, result): the stored entries; none if there are none or they can't be read. ``cache_faults`` has the lines left out."""
+    rows = _cache_lines(spark, path)
+    if rows is None:
+        return spark.createDataFrame([], CACHE_ENTRY)
+    return rows.where("bad is null and fast_key is not null and hash is not null").drop("bad")
+
+
+def cache_faults(spark: SparkSession, path: str) -> DataFrame:
+    """(line): what stands in a cache and is no entry, to be looked at; the contents are extracted anew."""
+    rows = _cache_lines(spark, path)
+    if rows is None:
+        return spark.createDataFrame([], "line string")
+    return rows.where("bad is not null or fast_key is null or hash is null").select(F.coalesce("bad", F.to_json(F.struct("fast_key", "hash", "seq", "result"))).alias("line"))
 
 
 def processed_names(spark: SparkSession, path: str, schema: T.StructType, column: str = "Source_File") -> DataFrame:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import os
 import uuid
 
 from pyspark.sql import DataFrame
@@ -11,6 +10,9 @@ from pyspark.sql import functions as F
 
 from loomspark.functions.text import join_multi
 
+#: What a table is named while another takes its place.
+ASIDE = ".aside"
+
 
 def flat(df: DataFrame) -> DataFrame:
     """Lists as delimited cells, for formats without lists."""
@@ -53,15 +55,23 @@ def checkpoint(df: DataFrame, path: str) -> None:
 
 
 def swap(df: DataFrame, path: str) -> None:
-    """Replaces a table that may be among ``df``'s inputs: writes beside it, then renames."""
-    spark = df.sparkSession
-    beside = f"{path.rstrip('/')}.{uuid.uuid4().hex}"
+    """Replaces a table that may be among ``df``'s inputs.
+
+    The new table is written beside the old one, which is moved aside before
+    the new one takes its place and is deleted last. Whenever this breaks off,
+    ``files.cache`` finds one of the two whole.
+    """
+    spark, path = df.sparkSession, path.rstrip("/")
+    beside, aside = f"{path}.{uuid.uuid4().hex}", path + ASIDE
     df.write.json(beside)
-    jvm = spark.sparkContext._jvm
-    old, new = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(beside)
-    fs = new.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.delete(old, True)
-    fs.rename(new, old)
+    name = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    old, new, kept = name(path), name(beside), name(aside)
+    store = new.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if store.exists(old):
+        store.delete(kept, True)
+        store.rename(old, kept)
+    store.rename(new, old)
+    store.delete(kept, True)
 
 
 def new_pages(fetched: DataFrame, existing: DataFrame) -> DataFrame:
@@ -74,14 +84,17 @@ def quarantine(fetched: DataFrame) -> DataFrame:
 
 
 def page_files(pages: DataFrame, folder: str) -> None:
-    """Writes each page to its own file under ``folder``, a path that all executors share."""
+    """Writes each page to its own file under ``folder``: a URI of a store that pyarrow knows, or a path that all executors share."""
 
     def write(rows) -> None:
-        os.makedirs(folder, exist_ok=True)
+        from pyarrow import fs
+
+        store, root = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
+        store.create_dir(root, recursive=True)
         for r in rows:
-            part = os.path.join(folder, f".{r['file']}.{uuid.uuid4().hex}")
-            with open(part, "w", encoding="utf-8") as f:
-                f.write(r["content"])
-            os.replace(part, os.path.join(folder, r["file"]))  # a task that runs twice leaves one whole file
+            part = f"{root}/.{r['file']}.{uuid.uuid4().hex}"
+            with store.open_output_stream(part) as f:
+                f.write(r["content"].encode())
+            store.move(part, f"{root}/{r['file']}")  # a task that runs twice leaves one whole file
 
     pages.select("file", "content").foreachPartition(write)

@@ -39,7 +39,7 @@ def test_service_records(spark, pages):
         return (200, '{"themes": ["a", "b"], "speakers": "S", "keywords": []}') if "C" in prompt.rsplit("\n", 1)[-1] else (500, "")
 
     done = spark.createDataFrame([("b.html",)], "Source_File string")
-    r = {r.Source_File: r for r in extraction.service_records(pages(), service, done).collect()}
+    r = {r.Source_File: r for r in extraction.service_records(pages(), service, done, key="name").collect()}
     assert set(r) == {"a-2021-workshop.html", "c.html"}
     c = r["c.html"]
     assert (c.Themes, c.Speakers, c.Organizations, c.Keywords, c.llm_failed) == ("a | b", "S", "N/A", "N/A", False)
@@ -65,11 +65,33 @@ def test_typed_run_asks_once_per_content(spark, pages, tmp_path):
     assert again.summary.first().succeeded == 3 and calls.value == 2 and again.entries.count() == 0
 
 
-def test_failed_pages_are_asked_again(spark, pages, tmp_path):
+def test_pages_named_alike_are_told_apart(spark):
+    rows = [(f"/{d}/a.html", "a.html", f"<h1>{d}</h1><p>text of {d}</p>") for d in ("x", "y")]
+    pages = spark.createDataFrame(rows, "path string, file string, content string")
+    service = lambda prompt: (200, '{"themes": ["%s"]}' % prompt.strip()[-1])
+    got = extraction.service_records(pages, service, spark.createDataFrame([], "path string")).collect()
+    assert sorted((r.path, r.Title, r.Themes) for r in got) == [("/x/a.html", "x", "x"), ("/y/a.html", "y", "y")]
+    done = spark.createDataFrame([("/x/a.html",)], "path string")
+    assert [r.path for r in extraction.service_records(pages, service, done).collect()] == ["/y/a.html"]
+
+
+def test_failures_are_cached_unless_retried(spark, pages, tmp_path):
     cache = spark.createDataFrame([], schemas.CACHE_ENTRY)
-    run = extraction.typed_run(pages(), cache, lambda p: (200, "[1]"), str(tmp_path / "store"))
-    s = run.summary.first()
-    assert (s.succeeded, s.failed) == (0, 3) and run.entries.count() == 0 and run.records.where("error is not null").count() == 2
+    calls = spark.sparkContext.accumulator(0)
+
+    def bad(prompt):
+        calls.add(1)
+        return 200, "[1]"
+
+    run = extraction.typed_run(pages(), cache, bad, str(tmp_path / "store"))
+    s, r = run.summary.first(), run.report.first()
+    assert (s.succeeded, s.failed) == (0, 3) and run.entries.count() == 3 and run.records.where("error is not null").count() == 2
+    assert (r.scanned, r.cache_hits, r.processed, r.new_failed, r.total_records, r.total_records_raw, r.unique_failed) == (3, 0, 3, 3, 2, 5, 2)
+    cache = spark.createDataFrame(run.entries.collect(), schemas.CACHE_ENTRY)
+    again = extraction.typed_run(pages(), cache, bad, str(tmp_path / "store2"))
+    assert calls.value == 2 and again.summary.first().failed == 3 and again.report.first().cache_hits == 3
+    better = extraction.typed_run(pages(), cache, lambda p: (200, '{"title": "T"}'), str(tmp_path / "store3"), retry_failed=True)
+    assert better.summary.first().succeeded == 3 and better.entries.count() == 3
 
 
 def test_missing_columns_give_empty_lists(spark):

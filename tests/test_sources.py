@@ -45,7 +45,12 @@ def test_cache(spark, tmp_path):
     sinks.swap(more, path)
     assert files.cache(spark, path).count() == 2
     (tmp_path / "bad").write_text("not json at all\n")
-    assert files.cache(spark, str(tmp_path / "bad")).where("fast_key is not null").count() == 0
+    assert files.cache(spark, str(tmp_path / "bad")).count() == 0
+    assert [r.line for r in files.cache_faults(spark, str(tmp_path / "bad")).collect()] == ["not json at all"]
+    os.rename(path, path + sinks.ASIDE)  # a swap that broke off in the middle
+    assert files.cache(spark, path).count() == 2
+    sinks.swap(files.cache(spark, path), path)
+    assert files.cache(spark, path).count() == 2 and not os.path.exists(path + sinks.ASIDE)
 
 
 def test_sinks(spark, tmp_path):
@@ -83,22 +88,25 @@ def test_fetching(spark, tmp_path):
 
 def test_extraction(spark):
     """A service that answers well, in fences, in prose, with an array, with nothing, and with an error."""
-    rows = [(k, "Base", k) for k in ("good", "fenced", "prose", "array", "empty", "status", "raise")]
+    rows = [(k, "Base", k) for k in ("good", "fenced", "prose", "array", "empty", "words", "status", "raise", "odd")]
     pages = spark.createDataFrame(rows, "key string, kind string, text string")
 
     def service(prompt):
         word = prompt.rsplit("\n", 1)[-1]
         if word == "raise":
             raise TimeoutError("late")
+        if word == "odd":
+            raise KeyError("odd")
         body = '{"title": "T"}'
-        return (500 if word == "status" else 200), {"good": body, "fenced": f"```json\n{body}\n```", "prose": f"Sure: {body}.", "array": "[1]", "empty": " "}.get(word, body)
+        return (500 if word == "status" else 200), {"good": body, "fenced": f"```json\n{body}\n```", "prose": f"Sure: {body}.", "array": "[1]", "empty": " ", "words": "sorry, no json"}.get(word, body)
 
     got = {r.key: r for r in boundary.records(boundary.extracted(pages, service, at_once=2, pause=0.0)).collect()}
     assert all(got[k].title == "T" and got[k].error is None for k in ("good", "fenced", "prose"))
-    assert got["array"].error == "Critical: AttributeError" and got["empty"].error == "empty reply"
-    assert got["status"].error == "status 500" and got["raise"].error == "TimeoutError: late" and got["raise"].regional_focus == "Global"
+    assert got["array"].error == "Critical: AttributeError" and got["empty"].error == got["words"].error == "failed after retries: ValueError"
+    assert got["status"].error == "status 500" and got["raise"].error == "failed after retries: TimeoutError" and got["raise"].regional_focus == "Global"
+    assert got["odd"].error == "Critical: KeyError"
     calls = {r.key: r.calls for r in boundary.extracted(pages, service, pause=0.0).collect()}
-    assert calls["good"] == 1 and calls["status"] == 3
+    assert calls == {"good": 1, "fenced": 1, "prose": 1, "array": 1, "empty": 3, "words": 3, "status": 3, "raise": 3, "odd": 1}
 
 
 def test_stream_resumes_by_content(spark, site, tmp_path):

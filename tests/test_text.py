@@ -113,3 +113,9 @@ def test_clean_field(spark):
 
 def test_collapse(val):
     assert val(text.collapse, " a\xa0\n\x1c b ") == "a b"
+
+
+def test_headings_with_spaces_that_are_not_ascii(val):
+    assert val(text.speakers_in, "Speakers\xa0: Jane Doe, John Roe") == "Jane Doe | John Roe"
+    assert val(text.theme_in, "x\nTheme\u2003\n\xa0Access for all\n") == "Access for all"
+    assert val(text.without_boilerplate, "Skip to main content\xa0|\u2003Menu\n1 rest") == "1 rest"
