@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomspark.sources.shared import fresh_path, store
+
 #: Rows and bytes of one Arrow batch: a batch of long documents stays within tens of MB.
 BATCH_ROWS = 512
 BATCH_BYTES = 16 << 20
@@ -50,28 +51,6 @@ def bounded_batches(spark: SparkSession) -> None:
             spark.conf.set(name, str(most))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; where that is unset, one in the warehouse."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return found.rstrip("/") if found else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/loomspark"
-
-
-def _store(spark: SparkSession, path: str):
-    """(Hadoop path, its file system), whatever store the path names."""
-    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return place, place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    """A path of its own below the application's folder, which goes when the driver's JVM ends."""
-    root = f"{shared_dir(spark)}/loomspark-{spark.sparkContext.applicationId}"
-    place, store = _store(spark, root)
-    if not store.exists(place):
-        store.mkdirs(place)
-        store.deleteOnExit(place)
-    return f"{root}/{name}-{uuid.uuid4().hex}"
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table in the shared folder: cuts lineage and survives lost executors."""
     return _written(df, fresh_path(df.sparkSession, name))
@@ -110,8 +89,8 @@ class Scratch:
 
     def drop(self, name: str) -> None:
         """Removes one table, or all for the empty name."""
-        place, store = _store(self.spark, f"{self.path}/{name}" if name else self.path)
-        store.delete(place, True)
+        place, files = store(self.spark, f"{self.path}/{name}" if name else self.path)
+        files.delete(place, True)
 
 
 def free_name(df: DataFrame, name: str) -> str:

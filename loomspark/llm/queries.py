@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomspark.llm import fingerprints, near_dedup, neighbours, packing, pieces, pii, quality, sharding, token_counts, toxicity
+from loomspark.llm import checks, fingerprints, near_dedup, neighbours, packing, pieces, pii, quality, sharding, token_counts, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": token_counts.query,
@@ -21,4 +21,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_sharding": sharding.query,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+QUERIES |= checks.QUERIES
+
+ORACLE_SQL: dict[str, str] = dict(checks.SQL)
