@@ -491,7 +491,7 @@ def unicode_spaces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "dom_records_by_class",
-    f"""WITH {SESSIONS} SELECT Source_File, 'Unknown' AS "Year", 'Unknown' AS Session_Type, Title, Themes, Speakers AS Speakers_Raw,
+    f"""WITH {SESSIONS} SELECT Source_File, coalesce(nullif(regexp_extract(Source_File, '(20[0-9]{{2}})', 1), ''), 'Unknown') AS "Year", 'Unknown' AS Session_Type, Title, Themes, Speakers AS Speakers_Raw,
 'A paragraph that is long enough to count: ' || Title AS Description FROM sess""",
 )
 def dom_records_by_class(spark: SparkSession, sf_dir: str) -> DataFrame:
