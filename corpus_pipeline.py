@@ -4,6 +4,11 @@ Documents that are toxic or of poor quality go, one of each class of near
 duplicates stays, personal data is replaced by its kind, and what is left is
 packed into sequences. Every stage's result is written to the shared folder as
 Parquet and read again, so a lost executor repeats one stage's tasks at most.
+
+Every stage takes null and empty texts (they stay, as one document once copies
+go), very long ones whole, rows without ids, repeated rows (they are judged
+alike, and one stays of those equal in id and text), columns of any names
+(carried along by all stages but the last), and tables without rows.
 """
 
 from __future__ import annotations
@@ -13,7 +18,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from loomspark.llm import near_dedup, packing, pii, quality, toxicity
-from loomspark.llm.common import table, written
+from loomspark.llm.common import Scratch, table, written
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,8 +54,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The pieces of all documents that pass, in their sequences."""
+    """The pieces of all documents that pass, in their sequences. What stages leave for one another goes at the end."""
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
-    return docs
+    with Scratch(spark, "pipeline") as s:
+        for name, stage in STAGES[:-1]:
+            docs = s.written(stage(spark, docs, sf_dir), name)
+        name, stage = STAGES[-1]
+        return written(stage(spark, docs, sf_dir), name)
