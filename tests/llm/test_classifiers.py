@@ -80,3 +80,14 @@ def test_responses_agree_with_the_definition():
     padded = np.concatenate([data, np.zeros(300, np.uint8)])
     direct = np.stack([sum(net.rows[k, padded[i + k]] for k in range(quality.WIDTH)) for i in range(192)])
     assert np.allclose(net.block_maxima(data), direct.reshape(3, 64, -1).max(1), atol=1e-5)
+
+
+def test_the_sample_is_bounded_whatever_the_ids(spark):
+    """A repeated id gives one row: a bound of 1 a class gives 2 rows at most."""
+    from loomspark.llm.common import labelled_sample
+
+    docs = spark.createDataFrame([(1, "b text")] * 300 + [(1, "a text"), (2, "other"), (3, "third")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 0)], "doc_id long, quality int")
+    picked, counts = labelled_sample(docs, labels, "quality", 1, 5, 1)
+    rows = {r.label: (r.doc_id, r.text) for r in picked.collect()}
+    assert picked.count() == 2 and rows[1] == (1, "a text") and counts == {0: 2, 1: 1}
