@@ -78,7 +78,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     """(doc_id, text, next_text, sketch, next_sketch): what is next by id, then text; after the last row, the first.
 
     Null ids come first. One shuffle of the texts, into as many ranges as there
-    are shuffle partitions; the bounds are that many numbers.
+    are shuffle partitions; the bounds and first ids are that many numbers.
     """
     spark = docs.sparkSession
     ranges = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -86,7 +86,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     rows = docs.select("doc_id", "text", key.alias("key"))
     stats = rows.agg(F.min("key").alias("first"), F.percentile_approx("key", [i / ranges for i in range(1, ranges)], 100 * ranges).alias("cuts")).first()
     first = LOWEST if stats["first"] is None else stats["first"]
-    bounds = sorted({first, *(stats["cuts"] or [])})  # each an id of the table: every range has a row
+    bounds = sorted({first, *(stats["cuts"] or [])})
     n = len(bounds)
     cuts = F.array(*(F.lit(b) for b in bounds))
     # The last bound at or below the key, by halving.
@@ -95,8 +95,12 @@ def with_next(docs: DataFrame) -> DataFrame:
     at = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), F.struct(F.lit(0).alias("lo"), F.lit(n).alias("hi")), half, lambda acc: acc["lo"])
     rows = rows.withColumn("at", at)
     # The first row of a range follows the last one of the range before; that of the first range follows the last of all.
-    leads = F.col("key") == F.get(cuts, F.col("at"))
-    before = F.pmod(F.col("at") - 1 + n, F.lit(n))
+    # Bounds are approximate, so each range's true first id is looked up; ranges without rows are passed over.
+    least = {r["at"]: r["least"] for r in rows.groupBy("at").agg(F.min("key").alias("least")).collect()}
+    full = sorted(least)
+    last = dict(zip(full, [*full[-1:], *full]))
+    leads = F.col("key") == F.get(F.array(*(F.lit(least.get(i, LOWEST)) for i in range(n))), F.col("at"))
+    before = F.get(F.array(*(F.lit(last.get(i, 0)) for i in range(n))), F.col("at"))
     copy = lambda at_, turn, real: F.struct(at_.alias("at"), F.lit(turn).alias("turn"), F.lit(real).alias("real"))
     both = F.when(leads, F.array(copy(F.col("at"), 0, True), copy(before, 1, False))).otherwise(F.array(copy(F.col("at"), 0, True)))
     dealt = rows.select("doc_id", "text", "key", F.explode(both).alias("to")).select("doc_id", "text", "key", "to.*")

@@ -80,3 +80,13 @@ def test_odd_rows(spark, odd_docs, no_docs):
     assert fp.fingerprints(no_docs).count() == 0
     one = spark.createDataFrame([(1, "just this one text here")], "doc_id long, text string")
     assert fp.fingerprints(one).first().near_next == 1.0
+
+
+def test_ids_beyond_double_precision(spark):
+    """Ids like hashes: every row has its next, though the bounds of the ranges are approximate."""
+    ids = [(1 << 62) + 3 * i for i in range(200)] + [-(1 << 61) - i for i in range(50)]
+    docs = spark.createDataFrame([(i, f"text number {k} of many more words here") for k, i in enumerate(ids)], "doc_id long, text string")
+    texts = sorted((r.doc_id, r.text) for r in docs.collect())
+    rows = by_id(fp.fingerprints(docs.repartition(5)).collect())
+    for k, (doc, text) in enumerate(texts):
+        assert rows[doc].edited_sha256 == hashlib.sha256(edited(text, texts[(k + 1) % len(texts)][1]).encode()).hexdigest()
