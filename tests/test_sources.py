@@ -128,9 +128,9 @@ def test_stream_deals_a_small_batch_to_few_tasks(spark, site, tmp_path):
     held = {k: spark.conf.get(k, None) for k in ("spark.sql.shuffle.partitions", "spark.sql.files.minPartitionNum")}
     spark.conf.set("spark.sql.shuffle.partitions", "9")
     try:
-        resume.extract_stream(resume.page_stream(spark, site, per_batch=2), lambda df: df.select("hash"), out, check, tasks=3).awaitTermination()
+        resume.extract_stream(resume.page_stream(spark, site, per_batch=2), lambda df: df.select("hash"), out, check).awaitTermination()
         assert (spark.conf.get("spark.sql.shuffle.partitions"), spark.conf.get("spark.sql.files.minPartitionNum", None)) == ("9", held["spark.sql.files.minPartitionNum"])
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", held["spark.sql.shuffle.partitions"])
-    assert len([d for d in os.listdir(f"{check}/state/0") if d.isdigit()]) == 3
+    assert len([d for d in os.listdir(f"{check}/state/0") if d.isdigit()]) == 4
     assert spark.read.parquet(out).distinct().count() == spark.read.parquet(out).count() == 4
