@@ -109,6 +109,44 @@ def test_sampling_estimates_weighted_similarity():
     assert abs(np.mean(share) - inter**nd.ROWS) < 0.12
 
 
+def test_samples_are_the_least_keys():
+    """Each sample against all keys of all shingles, worked out one text at a time; the last two texts are longer than a chunk."""
+    gen = np.random.default_rng(3)
+    g = np.random.default_rng(20240229)
+    r, c = g.gamma(2, 1, (2, nd.SAMPLES, nd.VARIATES))
+    b = g.random((nd.SAMPLES, nd.VARIATES)).astype(np.float32)
+    one, r, c = (np.log(c) + r * b.astype(float) - r).astype(np.float32), r.astype(np.float32), np.log(c).astype(np.float32)
+    for size, share in ((1, 0), (1, 1), (2, 0.5), (40, 1), (300, 0), (300, 0.1), (300, 1), (3000, 0.3), (5000, 1)):
+        h = np.sort(nd.mixed(gen.integers(1, 1 << 60, size).astype(np.uint64)))
+        w = np.where(gen.random(size) < share, gen.choice([0.5, 0.7, 0.99, 2, 3.5, 1e5], size), 1.0)
+        row = (h & np.uint64(nd.VARIATES - 1)).astype(int)
+        t = np.floor(np.log(w).astype(np.float32) / r[:, row] + b[:, row])
+        keys = np.where(w == 1, one[:, row], c[:, row] - r[:, row] * (t - b[:, row] + 1))
+        want = keys.argmin(1)
+        picked, level = nd.samples(h, w)
+        assert (picked == h[want]).all()
+        assert (level == np.where(w[want] == 1, 0, t[np.arange(nd.SAMPLES), want])).all()
+
+
+def test_sets_that_are_banded_together_have_their_own_bands():
+    h = np.sort(nd.mixed(np.arange(1, 201, dtype=np.uint64)))
+    sets = [(h[:k], np.where(h[:k] % np.uint64(3) == 0, 0.6, 1.0)) for k in (200, 0, 1, 7, 0, 150)]
+    found = nd.all_bands(sets)
+    assert [len(x) for x in found] == [nd.BANDS, 0, nd.BANDS, nd.BANDS, 0, nd.BANDS]
+    assert all((x == nd.bands(*y)).all() for x, y in zip(found, sets, strict=True))
+    assert nd.all_bands([]) == [] and [len(x) for x in nd.all_bands(sets[1:2])] == [0]
+
+
+def test_few_keys_of_weighted_shingles_are_worked_out(monkeypatch):
+    """All keys of all shingles, with the tables read across, took half of the operator's time."""
+    done, floor = [], np.floor
+    h = np.sort(nd.mixed(np.arange(1, 2001, dtype=np.uint64)))
+    monkeypatch.setattr(nd.np, "floor", lambda x: done.append(x.size) or floor(x))
+    assert len(nd.bands(h, 0.5 + (h % np.uint64(5)).astype(float) / 10)) == nd.BANDS
+    assert 0 < sum(done) < len(h) * nd.SAMPLES / 10
+    assert all(x.flags.c_contiguous and x.shape == (nd.VARIATES, nd.SAMPLES) for x in nd.variates())
+
+
 def test_keep_one(spark, odd_docs, no_docs):
     kept = nd.keep_one(odd_docs)
     rows = kept.collect()
